@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .decontaminate import op3_decontamination
+from .fingerprints import op4_fingerprints
 from .langid import op7_language_id
 from .mixing import op9_mixing
 from .sharding import op1_sharding
@@ -15,7 +16,7 @@ from .simhash import op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op3_decontamination, op7_language_id, op9_mixing, op10_simhash)
+    own = (op1_sharding, op3_decontamination, op4_fingerprints, op7_language_id, op9_mixing, op10_simhash)
     return {f.__name__: f for f in own}
 
 
