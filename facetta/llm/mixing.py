@@ -13,7 +13,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_hash, staged, table
+from .common import join_grouped, row_hash, staged, table
 
 SEED = 9_001
 #: Digits by which the boundary bucket is refined: LEVELS of BITS bits each, from the top of a 63-bit hash.
@@ -21,9 +21,6 @@ HASH_BITS, BITS, LEVELS = 63, 10, 5
 MAX_REPEATS = 2
 SHARE = 1.5
 WEIGHTS = (3, 1, 2)
-#: Sources up to which the table of thresholds is broadcast; beyond it is joined by a salted shuffle.
-BROADCAST_SOURCES = 50_000
-SALT = 64
 
 
 def word_count(text: Column) -> Column:
@@ -52,16 +49,7 @@ def targets_for(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: flo
 
 
 def with_source_table(df: DataFrame, small: DataFrame, rows: int) -> DataFrame:
-    """Join a row per source to the documents, nulls included: broadcast if few, else salted so that a hot source spreads."""
-    small = small.withColumnRenamed("source", "__k")
-    if rows <= BROADCAST_SOURCES:
-        return df.join(F.broadcast(small), F.col("source").eqNullSafe(F.col("__k")), "left").drop("__k")
-    salted = small.withColumn("__s2", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return (
-        df.withColumn("__s1", F.pmod(F.col("__hash"), F.lit(SALT)).cast("int"))
-        .join(salted, F.col("source").eqNullSafe(F.col("__k")) & (F.col("__s1") == F.col("__s2")), "left")
-        .drop("__k", "__s1", "__s2")
-    )
+    return join_grouped(df, small.withColumnRenamed("source", "__k"), {"source": "__k"}, rows, F.col("__hash"))
 
 
 def thresholds(hashed: DataFrame, *, weights=WEIGHTS, share: float = SHARE) -> tuple[DataFrame, int]:

@@ -11,12 +11,13 @@ from .decontaminate import op3_decontamination
 from .fingerprints import op4_fingerprints
 from .langid import op7_language_id
 from .mixing import op9_mixing
+from .quality import op6_quality
 from .sharding import op1_sharding
 from .simhash import op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op3_decontamination, op4_fingerprints, op7_language_id, op9_mixing, op10_simhash)
+    own = (op1_sharding, op3_decontamination, op4_fingerprints, op6_quality, op7_language_id, op9_mixing, op10_simhash)
     return {f.__name__: f for f in own}
 
 

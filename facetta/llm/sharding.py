@@ -11,7 +11,7 @@ Repeated rows are counted first and scattered by (row, occurrence), so no bucket
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,20 +64,37 @@ def shuffle_into_shards(
     ready = scattered.join(F.broadcast(based), "__bucket")
 
     schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    names = df.columns
-
-    def fisher_yates(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__tag", kind="stable", ignore_index=True)
-        rng = np.random.Generator(np.random.PCG64([seed, int(pdf["__bucket"].iloc[0])]))
-        order = np.arange(len(pdf))
-        rng.shuffle(order)  # in place, Fisher-Yates
-        pdf = pdf.iloc[order]
-        at = pdf["__base"].to_numpy() + np.arange(len(pdf))
+    width = len(df.columns)
+
+    def fisher_yates(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """One whole bucket, in order of the rows' tags; ``__tag``, ``__bucket``, ``__base`` are the last columns."""
+        whole = pa.Table.from_batches(batches).combine_chunks()
+        bucket, base = whole.column(width + 1)[0].as_py(), whole.column(width + 2)[0].as_py()
+        order = np.arange(whole.num_rows)
+        np.random.Generator(np.random.PCG64([seed, bucket])).shuffle(order)  # in place, Fisher-Yates
+        at = base + np.arange(whole.num_rows)
         shard = at * shards // n
         first = -(-shard * n // shards)
-        return pdf[names].assign(shard=shard.astype(np.int32), slot=at - first)
-
-    return ready.groupBy("__bucket").applyInPandas(fisher_yates, schema)
+        mixed = whole.select(range(width)).take(pa.array(order)).combine_chunks().to_batches()[0]
+        return pa.RecordBatch.from_arrays([*mixed.columns, pa.array(shard.astype(np.int32)), pa.array(at - first)], names=schema.names)
+
+    def apply(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            b = batch.column(width + 1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if held and held[0].column(width + 1)[0].as_py() != b[lo]:
+                    yield fisher_yates(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield fisher_yates(held)
+
+    dealt = ready.select(*df.columns, "__tag", "__bucket", "__base").repartition("__bucket").sortWithinPartitions("__bucket", "__tag")
+    return dealt.mapInArrow(apply, schema)
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:
