@@ -32,3 +32,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
 """
+
+OP8 = """
+WITH t AS (
+  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, CASE WHEN conv_id % 2 = 1 THEN 'rejected' ELSE 'chosen' END AS side,
+         turn, role, text, count(*) AS copies
+  FROM conversations GROUP BY ALL
+), alike AS (
+  SELECT pair_id, turn,
+         coalesce(list(row(role, text, copies) ORDER BY role, text) FILTER (side = 'chosen'), [])
+           = coalesce(list(row(role, text, copies) ORDER BY role, text) FILTER (side = 'rejected'), []) AS same
+  FROM t GROUP BY ALL
+), ends AS (
+  SELECT pair_id, min(turn) FILTER (NOT same) AS first FROM alike GROUP BY ALL
+), counted AS (
+  SELECT e.pair_id, e.first, count(*) FILTER (e.first IS NULL OR a.turn < e.first) AS prompt_turns
+  FROM ends e JOIN alike a ON a.pair_id = e.pair_id GROUP BY ALL
+)
+SELECT t.pair_id, CASE WHEN first IS NULL OR turn < first THEN 'prompt' ELSE side END AS part, turn, role,
+       '<|im_start|>' || coalesce(role, '') || chr(10) || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS rendered,
+       NOT (first IS NULL OR turn < first) AND coalesce(role, '') = 'assistant' AS trained, copies, prompt_turns
+FROM t JOIN counted c ON c.pair_id = t.pair_id
+WHERE NOT (first IS NULL OR turn < first) OR side = 'chosen'
+"""

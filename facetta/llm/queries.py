@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
+from .chat import op8_chat
 from .decontaminate import op3_decontamination
 from .fingerprints import op4_fingerprints
 from .langid import op7_language_id
@@ -17,9 +18,9 @@ from .simhash import op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op3_decontamination, op4_fingerprints, op6_quality, op7_language_id, op9_mixing, op10_simhash)
+    own = (op1_sharding, op3_decontamination, op4_fingerprints, op6_quality, op7_language_id, op8_chat, op9_mixing, op10_simhash)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": oracle.OP3}
+    return {"op3_decontamination": oracle.OP3, "op8_chat": oracle.OP8}
