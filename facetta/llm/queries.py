@@ -10,6 +10,7 @@ from . import oracle
 from .chat import op8_chat
 from .decontaminate import op3_decontamination
 from .fingerprints import op4_fingerprints
+from .html import op5_html
 from .langid import op7_language_id
 from .mixing import op9_mixing
 from .quality import op6_quality
@@ -18,7 +19,7 @@ from .simhash import op10_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op3_decontamination, op4_fingerprints, op6_quality, op7_language_id, op8_chat, op9_mixing, op10_simhash)
+    own = (op1_sharding, op3_decontamination, op4_fingerprints, op5_html, op6_quality, op7_language_id, op8_chat, op9_mixing, op10_simhash)
     return {f.__name__: f for f in own}
 
 
