@@ -1,0 +1 @@
+"""Empty on purpose: subset search is a batch computation; its sliding and expanding folds split a finite series."""
