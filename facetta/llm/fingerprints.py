@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 A text is a set of pieces: its paragraphs, cut at sentence ends, each with its place among equal pieces. The fingerprint
-is a sketch of fixed size: CELLS cells that hold the count, the xor of the digests and the xor of their checks. Two
+is a sketch of fixed size: CELLS cells that hold the count and the xor of the digests, which carry their own checks. Two
 sketches subtract cell by cell; equal pieces cancel, and peeling cells that hold one digest recovers those in which the
 versions differ. If peeling gets stuck, both versions are sketched again, four times larger.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +26,7 @@ TRIES = 12
 PIECE_CHARS = 240
 BUCKETS_PER_PARTITION = 4
 _MASK = (1 << 64) - 1
+_CHECK, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _PIECE = re.compile(r"[^\n.!?|]*[\n.!?|]+|[^\n.!?|]+")
 
 
@@ -38,72 +38,70 @@ def pieces(text: str) -> Iterator[str]:
             yield whole[at : at + PIECE_CHARS]
 
 
+def _key(h: int) -> int:
+    """A key from a hash: 44 bits of it, and 20 bits that check them."""
+    return h >> 20 << 20 | (h >> 20) * _CHECK >> 30 & 0xFFFFF
+
+
 def digests(text: str) -> set[int]:
-    """64-bit digests of the pieces; the second of two equal pieces has another digest than the first."""
+    """Keys of the pieces; the second of two equal pieces has another key than the first."""
     out: set[int] = set()
     h = xxhash.xxh3_64_intdigest
     for piece in pieces(text):
-        d = h(piece)
-        while d in out:
-            d = h(d.to_bytes(8, "little"))
-        out.add(d)
+        k = _key(h(piece))
+        while k in out:
+            k = _key(h(k.to_bytes(8, "little")))
+        out.add(k)
     return out
 
 
-def _check(digest: int) -> int:
-    return (digest * 0x9E3779B97F4A7C15 & _MASK) >> 32
-
-
 class Sketch:
-    """Cells of an invertible Bloom lookup table; digest d sits in one cell of each of HASHES stretches."""
+    """Cells of an invertible Bloom lookup table; a key sits in one cell of each of three stretches."""
 
-    __slots__ = ("checks", "counts", "size", "sums")
+    __slots__ = ("counts", "size", "sums")
 
     def __init__(self, size: int, keys=()):
-        self.size = size // HASHES
-        self.counts, self.sums, self.checks = [0] * size, [0] * size, [0] * size
-        for d in keys:
-            self.toggle(d, 1)
-
-    def cells(self, d: int) -> tuple[int, int, int]:
-        n = self.size
-        x = (d ^ n) * 0xD6E8FEB86659FD93 & _MASK
-        return (x & 0xFFFFF) % n, n + (x >> 20 & 0xFFFFF) % n, 2 * n + (x >> 40 & 0xFFFFF) % n
-
-    def toggle(self, d: int, sign: int) -> None:
-        c = _check(d)
-        for i in self.cells(d):
-            self.counts[i] += sign
-            self.sums[i] ^= d
-            self.checks[i] ^= c
+        n = self.size = size // HASHES
+        counts, sums = [0] * size, [0] * size
+        for k in keys:
+            x = (k ^ n) * _SPREAD & _MASK
+            i, j, m = (x & 0xFFFFF) % n, n + (x >> 20 & 0xFFFFF) % n, 2 * n + (x >> 40 & 0xFFFFF) % n
+            counts[i] += 1
+            counts[j] += 1
+            counts[m] += 1
+            sums[i] ^= k
+            sums[j] ^= k
+            sums[m] ^= k
+        self.counts, self.sums = counts, sums
 
     def minus(self, other: Sketch) -> Sketch:
         out = Sketch(0)
         out.size = self.size
         out.counts = [a - b for a, b in zip(self.counts, other.counts)]
         out.sums = [a ^ b for a, b in zip(self.sums, other.sums)]
-        out.checks = [a ^ b for a, b in zip(self.checks, other.checks)]
         return out
 
-    def pure(self, i: int) -> bool:
-        return self.counts[i] in (1, -1) and _check(self.sums[i]) == self.checks[i]
-
     def peel(self) -> tuple[set[int], set[int]] | None:
-        """Digests of the first version only and of the second only, or None if peeling gets stuck."""
+        """Keys of the first version only and of the second only, or None if peeling gets stuck. Uses the cells up."""
+        counts, sums, n = self.counts, self.sums, self.size
         first, second = set(), set()
-        queue = deque(i for i in range(len(self.counts)) if self.pure(i))
+        queue = [i for i, c in enumerate(counts) if c == 1 or c == -1]
         while queue:
-            i = queue.popleft()
-            if not self.pure(i):
-                continue
-            d, sign = self.sums[i], self.counts[i]
-            (first if sign > 0 else second).add(d)
-            self.toggle(d, -sign)
-            queue.extend(j for j in self.cells(d) if self.pure(j))
-        return None if any(self.counts) or any(self.sums) else (first, second)
+            i = queue.pop()
+            sign, k = counts[i], sums[i]
+            if (sign != 1 and sign != -1) or (k >> 20) * _CHECK >> 30 & 0xFFFFF != k & 0xFFFFF:
+                continue  # not the cell of a single key
+            (first if sign > 0 else second).add(k)
+            x = (k ^ n) * _SPREAD & _MASK
+            for j in ((x & 0xFFFFF) % n, n + (x >> 20 & 0xFFFFF) % n, 2 * n + (x >> 40 & 0xFFFFF) % n):
+                c = counts[j] = counts[j] - sign
+                sums[j] ^= k
+                if c == 1 or c == -1:
+                    queue.append(j)
+        return None if any(counts) or any(sums) else (first, second)
 
     def __str__(self) -> str:
-        return b"".join(struct.pack(">hQI", (c + 0x8000) % 0x10000 - 0x8000, s, k) for c, s, k in zip(self.counts, self.sums, self.checks)).hex()
+        return struct.pack(f">{len(self.counts)}h{len(self.sums)}Q", *[(c + 0x8000) % 0x10000 - 0x8000 for c in self.counts], *self.sums).hex()
 
 
 class Version:
