@@ -17,13 +17,28 @@ def work_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR).rstrip("/")
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
+#: Files a core, and rows a file at most, of a table with short rows; rows a file of one with texts.
+FILES_PER_CORE, SHORT_ROWS, TEXT_ROWS = 2, 1_000_000, 20_000
+
+
+def few_files(df: DataFrame, rows: int, *, texts: bool = False) -> DataFrame:
+    """``df`` of about ``rows`` rows in no more partitions than its size calls for: two a core, or more if these get large.
+
+    Partitions are read one after the other by one task; nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(1, FILES_PER_CORE * cores, rows // (TEXT_ROWS if texts else SHORT_ROWS)))
+
+
+def staged(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
-    The files outlive any executor, and go when the driver's JVM ends.
+    The files outlive any executor, and go when the driver's JVM ends. With ``rows``, about how many there are, it writes
+    few of them.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/facetta-{tag}-{uuid.uuid4().hex}"
+    df = df if rows is None else few_files(df, rows)
     df.write.option("compression", "zstd").parquet(path)
     fs, where = _hadoop(spark, path)
     fs.deleteOnExit(where)
