@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_WORK_DIR = "file:///tmp/facetta-work"
+from ..work import few_files, staged, unstage
+
+__all__ = ["few_files", "join_grouped", "row_hash", "staged", "table", "unstage", "utf8_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,38 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR).rstrip("/")
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here.
-
-    The files outlive any executor, and go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/facetta-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _hadoop(spark, path)[0].deleteOnExit(_hadoop(spark, path)[1])
-    out = spark.read.schema(df.schema).parquet(path)
-    out._facetta_path = path
-    return out
-
-
-def unstage(df: DataFrame) -> None:
-    """Delete the files behind a ``staged`` frame that nothing will read again."""
-    path = getattr(df, "_facetta_path", None)
-    if path:
-        fs, where = _hadoop(df.sparkSession, path)
-        fs.delete(where, True)
-
-
-def _hadoop(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
 def row_hash(seed: int, *cols: Column) -> Column:
     """Unsigned-looking 63-bit hash of a row's columns, the same on every rerun."""
     return F.xxhash64(F.lit(seed).cast("long"), *cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import few_files, staged, table
 
 WINDOW = 13
 #: Windows, and words of the benchmark, in one broadcast: at most about 100 MB.
@@ -51,14 +51,14 @@ def laid_out(docs: DataFrame) -> DataFrame:
 def rarest_words(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """``wins`` with ``id``, ``word`` (the window's rarest over all documents) and ``off``, where it stands in the window."""
     spark = docs.sparkSession
-    vocabulary = staged(wins.select(F.explode("window").alias("word")).distinct(), "vocabulary")
+    vocabulary = staged(wins.select(F.explode("window").alias("word")).distinct(), "vocabulary", 0)
     blocks = max(1, -(-vocabulary.count() // BLOCK_WORDS))
     counts = []
     for b in range(blocks):
         own = vocabulary.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b) if blocks > 1 else vocabulary
         met = laid_out(docs.select("text")).join(F.broadcast(own), F.col("__word") == F.col("word"))
         counts.append(met.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    known = staged(reduce(DataFrame.unionByName, counts), "counts")
+    known = staged(reduce(DataFrame.unionByName, counts), "counts", 0)
     each = wins.withColumn("id", F.xxhash64("window")).select("id", "window", "len", "items", F.posexplode("window").alias("off", "word"))
     ranked = each.join(known, "word", "left").groupBy("id", "window", "len", "items")
     best = ranked.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "off")).alias("b"))
@@ -74,8 +74,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     columns are ignored.
     """
     slim = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    wins = staged(windows(items.select("item_id", "text")), "windows")
-    known = staged(rarest_words(slim, wins).where("n > 0"), "rarest")  # a word in no document: a window in no document
+    wins = staged(windows(items.select("item_id", "text")), "windows", 0)
+    known = staged(rarest_words(slim, wins).where("n > 0"), "rarest", 0)  # a word in no document: a window in no document
     n = known.count()
     blocks = max(1, -(-n // BLOCK_WINDOWS))
     parts = []
@@ -105,14 +105,14 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, h: F.struct((a.n + F.greatest(h.e - F.greatest(h.s, a.end), F.lit(0))).alias("n"), F.greatest(a.end, h.e).alias("end")),
     ).n
-    found = staged(by_doc.withColumn("n_hit", covered).drop("hits"), "hits")
+    found = staged(by_doc.withColumn("n_hit", covered).drop("hits"), "hits", docs.count())
     # Of the documents with windows, which are few, the items.
     named = found.where(F.size("ids") > 0).select("doc_id", "text_hash", F.explode("ids").alias("id")).join(known.select("id", "items"), "id")
     listed = named.select("doc_id", "text_hash", F.explode("items").alias("item")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
     same = F.col("f.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("f.text_hash") == F.col("l.text_hash"))
     rows = found.alias("f").join(listed.alias("l"), same, "left").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     ids = F.coalesce(F.col("item_ids"), F.array().cast("array<string>"))
-    return rows.select(
+    out = rows.select(
         F.col("f.doc_id"),
         F.col("n_words").cast("long").alias("n_words"),
         F.col("n_hit").cast("long").alias("n_hit"),
@@ -121,13 +121,14 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit").cast("long") >= F.col("n_words"))).alias("contaminated"),
         F.col("f.text_hash"),
     )
+    return few_files(out, docs.count())
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows."""
     bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     same = docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__hash"))
-    return docs.join(staged(bad, "bad"), same, "left_anti")
+    return few_files(docs.join(staged(bad, "bad", 0), same, "left_anti"), docs.count(), texts=True)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

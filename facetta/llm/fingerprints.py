@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import few_files, table
 
 HASHES, CELLS, GROWTH = 3, 24, 4
 #: Sizes tried before the digests themselves are compared.
@@ -203,7 +203,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(names))
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(apply, schema)
+    return few_files(dealt.mapInArrow(apply, schema), docs.count())
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

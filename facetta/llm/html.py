@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import few_files, table
 
 # Names of HTML elements by what they mean for the text.
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select datalist".split())
@@ -337,7 +337,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(apply, "page_id long, url string, text string, n_chars long")
+    out = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(apply, "page_id long, url string, text string, n_chars long")
+    return few_files(out, pages.count(), texts=True)
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import few_files, table
 
 #: Documents a language gives to the training sample at most; the languages that are learned at most.
 PER_LANGUAGE, MAX_LANGUAGES = 1_000, 200
@@ -217,13 +217,13 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     """The contract's columns for ``documents``, and ``accepted``."""
     model = fit(docs.select("doc_id", "text", "lang"))
     out = identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "accepted")
+    return out.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "accepted").transform(few_files, docs.count())
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``documents`` without those the model rejects."""
     out = identify(docs, fit(docs.select("doc_id", "text", "lang")))
-    return out.where("accepted").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return few_files(out.where("accepted").select(*[F.col(f"`{c}`") for c in docs.columns]), docs.count(), texts=True)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

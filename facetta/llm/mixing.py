@@ -13,7 +13,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_grouped, row_hash, staged, table
+from .common import few_files, join_grouped, row_hash, staged, table
 
 SEED = 9_001
 #: Digits by which the boundary bucket is refined: LEVELS of BITS bits each, from the top of a 63-bit hash.
@@ -112,7 +112,8 @@ def mix(df: DataFrame, *, seed: int = SEED, weights=WEIGHTS, share: float = SHAR
         "size": word_count(F.col("text")),
         "__hash": row_hash(seed, F.col("doc_id"), F.col("source"), F.xxhash64("text")),
     })
-    hashed = staged(df.select(F.col("source").cast("string").alias("source"), "size", "__hash"), "mix")
+    rows = df.count()
+    hashed = staged(df.select(F.col("source").cast("string").alias("source"), "size", "__hash"), "mix", rows)
     plan, n = thresholds(hashed, weights=weights, share=share)
     more = (F.col("__hash") < F.col("__low")).cast("int")
     repeats = F.when(F.col("__base") >= MAX_REPEATS, F.lit(MAX_REPEATS)).otherwise(F.col("__base") + more)
@@ -122,13 +123,14 @@ def mix(df: DataFrame, *, seed: int = SEED, weights=WEIGHTS, share: float = SHAR
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The contract's columns for ``documents``."""
     mixed = mix(docs.select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+    out = mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+    return few_files(out, docs.count())
 
 
 def keep_mixed(docs: DataFrame) -> DataFrame:
     """``documents`` with each row as often as the mix takes it; no row is shuffled."""
     mixed = mix(docs).where("repeats > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return few_files(mixed.select(*[F.col(f"`{c}`") for c in docs.columns]), docs.count(), texts=True)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_grouped, staged, table
+from .common import few_files, join_grouped, staged, table
 
 #: Labelled documents the classifier is fitted on, at most (about).
 SAMPLE = 20_000
@@ -156,28 +156,27 @@ def quality(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(p)], names=["doc_id", "host", "path", "evidence"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    scored = staged(slim.mapInArrow(score, f"doc_id {kind}, host string, path string, evidence double"), "evidence")
+    scored = staged(slim.mapInArrow(score, f"doc_id {kind}, host string, path string, evidence double"), "evidence", docs.count())
 
     e = F.col("evidence")
     sums = [F.count(F.lit(1)).alias("n"), F.sum(e).alias("s"), F.sum(e * e).alias("q")]
-    paths = staged(scored.groupBy("host", "path").agg(*sums), "paths")
+    paths = staged(scored.groupBy("host", "path").agg(*sums), "paths", 0)
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in "nsq"])
     total = hosts.agg(F.sum("n"), F.sum("s")).first()
     prior = total[1] / total[0] if total[0] else 0.5
     hosts = hosts.withColumn("up", F.lit(prior))
     k = strength(hosts, "up")
-    hosts = staged(hosts.select(F.col("host").alias("h"), ((F.col("s") + k * prior) / (F.col("n") + k)).alias("host_quality")), "hosts")
+    hosts = staged(hosts.select(F.col("host").alias("h"), ((F.col("s") + k * prior) / (F.col("n") + k)).alias("host_quality")), "hosts", 0)
     n_hosts, n_paths = hosts.count(), paths.count()
     above = join_grouped(paths, hosts, {"host": "h"}, n_hosts, F.xxhash64("path"))
     k = strength(above, "host_quality")
     means = above.select(
         F.col("host").alias("h"), F.col("path").alias("p"), "host_quality", ((F.col("s") + k * F.col("host_quality")) / (F.col("n") + k)).alias("path_quality")
     )
-    out = join_grouped(scored, staged(means, "means"), {"host": "h", "path": "p"}, n_paths, F.xxhash64("doc_id", "evidence"))
+    out = join_grouped(scored, staged(means, "means", n_paths), {"host": "h", "path": "p"}, n_paths, F.xxhash64("doc_id", "evidence"))
     posterior = 1 / (1 + F.exp(-(logit(e) + logit(F.col("path_quality")) - float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))))
-    return out.select("doc_id", "evidence", "host_quality", "path_quality", posterior.alias("posterior")).withColumn(
-        "keep", F.col("posterior") >= threshold
-    )
+    out = out.select("doc_id", "evidence", "host_quality", "path_quality", posterior.alias("posterior"))
+    return few_files(out.withColumn("keep", F.col("posterior") >= threshold), int(total[0] or 0))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

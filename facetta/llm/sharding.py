@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_hash, staged, table, utf8_bytes
+from .common import few_files, row_hash, staged, table, utf8_bytes
 
 SEED = 20_240
 #: Records that one Fisher-Yates task holds in memory; with ``bucket_bytes`` the size of a bucket.
@@ -55,7 +55,7 @@ def shuffle_into_shards(
     n = total["n"]
     buckets = max(MIN_BUCKETS, -(-n // bucket_rows), -(-int(total["b"] or 0) // bucket_bytes))
 
-    scattered = staged(spread.withColumn("__bucket", F.pmod(F.col("__tag"), F.lit(buckets)).cast("int")), "scatter")
+    scattered = staged(spread.withColumn("__bucket", F.pmod(F.col("__tag"), F.lit(buckets)).cast("int")), "scatter", n)
     # One row a bucket: bounded by the input's size over the bucket's.
     sizes = sorted((r[0], r[1]) for r in scattered.groupBy("__bucket").count().collect())
     starts = np.concatenate([[0], np.cumsum([c for _, c in sizes], dtype=np.int64)])[:-1].tolist() if sizes else []
@@ -94,7 +94,7 @@ def shuffle_into_shards(
             yield fisher_yates(held)
 
     dealt = ready.select(*df.columns, "__tag", "__bucket", "__base").repartition("__bucket").sortWithinPartitions("__bucket", "__tag")
-    return dealt.mapInArrow(apply, schema)
+    return few_files(dealt.mapInArrow(apply, schema), n)
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:

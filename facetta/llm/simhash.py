@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, unstage
+from .common import few_files, staged, table, unstage
 
 BITS = 64
 SHINGLE, SEED, TAU = 4, 42, 4
@@ -253,9 +253,9 @@ def components(links: DataFrame) -> DataFrame:
             out = down.join(least, "u").select(F.col("m").alias("u"), "v").union(least.select(F.col("m").alias("u"), F.col("u").alias("v")))
         return out.where("u < v").distinct()
 
-    now, mark = staged(links.where("u < v").distinct(), "links"), None
+    now, mark = staged(links.where("u < v").distinct(), "links", 0), None
     while True:
-        new = staged(star(star(now, True), False), "stars")
+        new = staged(star(star(now, True), False), "stars", 0)
         unstage(now)
         now = new
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -272,19 +272,21 @@ def near_duplicates(docs: DataFrame, *, tau: int = TAU) -> DataFrame:
     Null and empty texts have fingerprint 0 and link like others; a null doc_id counts as the largest and comes back as
     null; repeated rows come back as often as given; an empty table gives an empty result; other columns are ignored.
     """
-    own = staged(fingerprints(docs), "fingerprints")
-    nodes = staged(own.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")), "nodes")
+    rows = docs.count()
+    own = staged(fingerprints(docs), "fingerprints", rows)
+    nodes = staged(own.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")), "nodes", rows)
     n, both = bit_statistics(nodes)
     merged = nodes.withColumn("component", F.col("fp"))
     if n > 1:
         found = components(verified_links(probes(nodes, *allocate(n, both, tau)), tau))
         joined = nodes.join(found.withColumnRenamed("component", "least"), nodes.fp == found.node, "left")
-        merged = staged(joined.select("fp", "rep", F.coalesce("least", "fp").alias("component")), "merged")
+        merged = staged(joined.select("fp", "rep", F.coalesce("least", "fp").alias("component")), "merged", n)
     least = merged.groupBy("component").agg(F.min("rep").alias("id"))
     named = merged.select("fp", "component").join(least, "component")
-    return own.join(named, "fp").select(
+    out = own.join(named, "fp").select(
         "doc_id", "fp", "text_hash", "component", F.when(F.col("id") != NO_ID, F.col("id")).alias("component_id")
     )
+    return few_files(out, rows)
 
 
 def simhash_documents(docs: DataFrame) -> DataFrame:
@@ -301,9 +303,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     same = docs.doc_id.cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__hash"))
     kept = docs.join(chosen, same, "left_semi")
     repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeats:
-        return kept
-    return kept.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    if repeats:
+        kept = kept.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    return few_files(kept, docs.count(), texts=True)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
