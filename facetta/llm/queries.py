@@ -16,10 +16,11 @@ from .mixing import op9_mixing
 from .quality import op6_quality
 from .sharding import op1_sharding
 from .simhash import op10_simhash
+from .suffixes import op2_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op3_decontamination, op4_fingerprints, op5_html, op6_quality, op7_language_id, op8_chat, op9_mixing, op10_simhash)
+    own = (op1_sharding, op2_suffix_dedup, op3_decontamination, op4_fingerprints, op5_html, op6_quality, op7_language_id, op8_chat, op9_mixing, op10_simhash)
     return {f.__name__: f for f in own}
 
 
