@@ -21,13 +21,13 @@ def work_dir(spark: SparkSession) -> str:
 FILES_PER_CORE, SHORT_ROWS, TEXT_ROWS = 2, 1_000_000, 20_000
 
 
-def few_files(df: DataFrame, rows: int, *, texts: bool = False) -> DataFrame:
+def few_files(df: DataFrame, rows: int, *, texts: bool = False, per_core: int = FILES_PER_CORE) -> DataFrame:
     """``df`` of about ``rows`` rows in no more partitions than its size calls for: two a core, or more if these get large.
 
     Partitions are read one after the other by one task; nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(1, FILES_PER_CORE * cores, rows // (TEXT_ROWS if texts else SHORT_ROWS)))
+    return df.coalesce(max(1, per_core * cores, rows // (TEXT_ROWS if texts else SHORT_ROWS)))
 
 
 def staged(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:

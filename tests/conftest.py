@@ -5,11 +5,11 @@ from pathlib import Path
 import pytest
 
 HERE = Path(__file__).resolve().parent
-sys.path.insert(0, str(HERE.parent))
+sys.path[:0] = [str(HERE.parent), str(HERE)]
 # Python workers import the package, and functions of the test modules.
 os.environ["PYTHONPATH"] = os.pathsep.join([str(HERE.parent), str(HERE), str(HERE / "llm"), os.environ.get("PYTHONPATH", "")])
 
-SF = "/root/testdata/sf0.001"
+from common_checks import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -38,14 +38,3 @@ def duck():
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
-
-
-def same_rows(frame, duck, sql):
-    """Compare a Spark result to a DuckDB result, columns by name, rows in any order."""
-    found = duck.execute(sql)
-    names = [d[0] for d in found.description]
-    theirs = [tuple(dict(zip(names, r))[c] for c in sorted(names)) for r in found.fetchall()]
-    assert sorted(frame.columns) == sorted(names)
-    ours = [tuple(r) for r in frame.select(*sorted(names)).collect()]
-    order = lambda r: tuple((v is None, str(v)) for v in r)
-    assert sorted(ours, key=order) == sorted(theirs, key=order)

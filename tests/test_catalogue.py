@@ -1,5 +1,5 @@
 import pytest
-from conftest import SF, same_rows
+from common_checks import SF, same_rows
 
 from facetta import catalogue
 
