@@ -70,7 +70,6 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     langs: list[str]
     scores: np.ndarray  # (buckets, languages)
-    bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
 
@@ -79,7 +78,7 @@ class Model:
         for b in ngram_buckets(as_bytes(text)):
             total += self.scores[b].sum(axis=0, dtype=np.float64)
             n += len(b)
-        return total / max(1, n) + self.bias
+        return total / max(1, n)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and calibrated score; ``und`` for null and for texts without letters."""
@@ -99,7 +98,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = SEED) -> M
     """Fit on (buckets, shares, language) rows; a fifth of them calibrates."""
     langs = sorted({r[2] for r in rows})
     if not langs:
-        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32))
     rng = np.random.default_rng(seed)
     index = {x: i for i, x in enumerate(langs)}
     order = rng.permutation(len(rows))
@@ -107,7 +106,6 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = SEED) -> M
     calibration, training = order[:n_cal], order[n_cal:]
     emb = rng.uniform(-1, 1, (1 << BUCKET_BITS, DIM)).astype(np.float32) / DIM
     out = np.zeros((DIM, len(langs)), np.float32)
-    bias = np.zeros(len(langs), np.float32)
     seen = np.zeros(1 << BUCKET_BITS, bool)
     step, steps = 0, EPOCHS * max(1, len(training))
     for _ in range(EPOCHS):
@@ -118,28 +116,33 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = SEED) -> M
             rate = RATE * (1 - step / steps)
             step += 1
             doc = share @ emb[at]
-            grad = softmax(doc @ out + bias)
+            grad = softmax(doc @ out)
             grad[index[lang]] -= 1
             back = out @ grad
             out -= rate * np.outer(doc, grad)
-            bias -= 0.1 * rate * grad
             # A mean over hundreds of n-grams gives each a tiny gradient: scaled by the shares' own norm.
             emb[at] -= (rate / float(share @ share) ** 0.5) * np.outer(share, back)
             seen[at] = True
     emb[~seen] = 0
-    model = Model(langs, (emb @ out).astype(np.float32), bias.astype(np.float64))
+    model = Model(langs, (emb @ out).astype(np.float32))
     return calibrate(model, [rows[i] for i in calibration])
 
 
 def calibrate(model: Model, rows: list) -> Model:
-    """Temperature by likelihood on a grid; threshold under which few right predictions fall."""
+    """Temperature by likelihood on a grid; threshold under which few right predictions fall.
+
+    The labels are smoothed by what their number leaves open, so that a sample without errors doesn't call for certainty.
+    """
     rows = [r for r in rows if len(r[0])]
     if not rows:
         return model
-    z = np.stack([share.astype(np.float64) @ model.scores[at] + model.bias for at, share, _ in rows])
+    z = np.stack([share.astype(np.float64) @ model.scores[at] for at, share, _ in rows])
     y = np.array([model.langs.index(r[2]) for r in rows])
     grid = np.exp(np.linspace(np.log(0.02), np.log(20), 60))
-    loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
+    doubt = 1 / (len(y) + 2)
+    goal = np.full(z.shape, doubt / max(1, z.shape[1] - 1))
+    goal[np.arange(len(y)), y] = 1 - doubt
+    loss = [-(goal * np.log(np.maximum(softmax(z / t), 1e-300))).sum() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     p = softmax(z / model.temperature)
     right = p.argmax(axis=1) == y
