@@ -13,16 +13,22 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_files, join_grouped, row_hash, staged, table
+from .common import few_files, join_grouped, staged, table
 
 SEED = 9_001
-#: Digits by which the boundary bucket is refined: LEVELS of BITS bits each, from the top of a 63-bit hash.
-HASH_BITS, BITS, LEVELS = 63, 10, 5
+#: Digits by which the boundary bucket is refined: LEVELS of BITS bits each make up a hash.
+HASH_BITS, BITS, LEVELS = 60, 10, 6
 MAX_REPEATS = 2
 SHARE = 1.5
 WEIGHTS = (3, 1, 2)
 
 
+def document_hash(seed: int) -> Column:
+    """HASH_BITS bits of the MD5 of seed, doc_id, source and the text's MD5; nulls are left out."""
+    key = F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("source").cast("string"), F.md5(F.col("text").cast("binary")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+``; 0 for null."""
     plain = F.translate(text, "\t\n\x0b\x0c\r", "     ")
@@ -56,7 +62,7 @@ def thresholds(hashed: DataFrame, *, weights=WEIGHTS, share: float = SHARE) -> t
     """A row per source: ``source``, ``source_size``, ``target``, ``__base`` copies of everything, and ``__low``, the hash
     below which a document is taken once more; and the number of sources.
 
-    ``hashed`` has ``source``, ``size`` and ``__hash`` (63 bits), and is read LEVELS + 1 times: it should be staged.
+    ``hashed`` has ``source``, ``size`` and ``__hash``, and is read LEVELS + 1 times: it should be staged.
     """
     spark = hashed.sparkSession
     per_source = hashed.groupBy("source").agg(F.sum("size").alias("s")).collect()  # one row a source
@@ -110,7 +116,7 @@ def mix(df: DataFrame, *, seed: int = SEED, weights=WEIGHTS, share: float = SHAR
     """
     df = df.drop("size", "source_size", "target", "repeats").withColumns({
         "size": word_count(F.col("text")),
-        "__hash": row_hash(seed, F.col("doc_id"), F.col("source"), F.xxhash64("text")),
+        "__hash": document_hash(seed),
     })
     rows = df.count()
     hashed = staged(df.select(F.col("source").cast("string").alias("source"), "size", "__hash"), "mix", rows)

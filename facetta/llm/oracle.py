@@ -55,3 +55,61 @@ SELECT t.pair_id, CASE WHEN first IS NULL OR turn < first THEN 'prompt' ELSE sid
 FROM t JOIN counted c ON c.pair_id = t.pair_id
 WHERE NOT (first IS NULL OR turn < first) OR side = 'chosen'
 """
+
+# A document's windows of 400 bytes as MD5s of their hex digits; a start counts if its window's MD5 comes twice. Starts at
+# most 400 apart are in one removed run; what lies between the runs is kept.
+OP2 = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT rid, p, md5(substr(h, 2 * p + 1, 800)) AS g FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 399)) AS p FROM d WHERE len(h) >= 800)
+), s AS (
+  SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY g) AS n FROM w) WHERE n > 1
+), r AS (
+  SELECT rid, p, sum(CASE WHEN p <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY p) AS k
+  FROM (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS before FROM s)
+), runs AS (
+  SELECT rid, k, min(p) AS a, max(p) + 400 AS b FROM r GROUP BY rid, k
+), kept AS (
+  SELECT rid, string_agg(substr(h, 2 * coalesce(last, 0) + 1, 2 * (a - coalesce(last, 0))), '' ORDER BY k) AS pieces, max(b) AS tail, sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM (SELECT rid, k, a, b, lag(b) OVER (PARTITION BY rid ORDER BY k) AS last FROM runs) JOIN d USING (rid) GROUP BY rid
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(pieces, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
+#: Rounds in which excess is shared again: enough for as many sources.
+ROUNDS = 24
+
+
+def _shared(k: int) -> str:
+    left = "(SELECT total FROM totals) - coalesce(sum(2 * s) FILTER (full_) OVER (), 0)"
+    share = f"({left}) * w / sum(w) FILTER (NOT full_) OVER ()"
+    return f"f{k + 1} AS (SELECT source, s, w, full_ OR coalesce({share} > 2 * s, false) AS full_, CASE WHEN full_ THEN 2.0 * s ELSE {share} END AS t FROM f{k})"
+
+
+# Documents in order of their hash: those are taken once more whose sizes together stay in what the target leaves over
+# whole copies, and the next if that brings the sum nearer.
+OP9 = f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(concat_ws('|', '9001', CAST(doc_id AS VARCHAR), source, md5(text))), 1, 15) AS BIGINT) AS h
+  FROM documents
+), totals AS (
+  SELECT 1.5::DOUBLE * sum(size) AS total FROM d
+), f0 AS (
+  SELECT source, s, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, false AS full_, 0.0::DOUBLE AS t
+  FROM (SELECT source, sum(size) AS s FROM d GROUP BY source)
+), {", ".join(_shared(k) for k in range(ROUNDS))},
+goal AS (
+  SELECT source, CAST(s AS BIGINT) AS source_size, CAST(t AS DOUBLE) AS target, CASE WHEN s = 0 THEN 0 ELSE least(CAST(floor(t / s) AS BIGINT), 2) END AS base FROM f{ROUNDS}
+), c AS (
+  SELECT d.*, source_size, target, base, target - base * source_size AS want, sum(size) OVER (PARTITION BY d.source ORDER BY h) AS upto
+  FROM d JOIN goal ON d.source IS NOT DISTINCT FROM goal.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(size * CASE WHEN base >= 2 THEN 2 WHEN want <= 0 THEN base
+         WHEN upto <= want OR (upto - size <= want AND upto - want < want - (upto - size)) THEN base + 1 ELSE base END AS BIGINT) AS taken
+FROM c
+"""

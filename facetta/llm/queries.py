@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": oracle.OP3, "op8_chat": oracle.OP8}
+    return {"op2_suffix_dedup": oracle.OP2, "op3_decontamination": oracle.OP3, "op8_chat": oracle.OP8, "op9_mixing": oracle.OP9}
