@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures, oracle
 from .functions import CORR, MAE, MEAN_RHO, RMSE, compose, gaussian_noise, mask_columns, softmax, zscore_normalize
-from .operators import cross, embedding, enumerate_states, forward, lag_embed, loo_predictions, simplex, simplex_predictions, within
+from .operators import cross, embedding, enumerate_states, forward, lag_embed, loo_predictions, simplex, simplex_predictions, smap, within
 from .operators.neighborhood import expand, initial
 from .plans import beam, best_step, greedy, initial_frontier, recovery_count, subset_search, sweep, trace_frame, validate_trace
 from .plans.strategy import FRONTIER, frontier, incumbent, pop, survivors
@@ -571,6 +571,25 @@ def worked_example(spark, sf_dir):
     return reduce(DataFrame.unionByName, out)
 
 
+@query("SELECT * FROM (VALUES (1, '0,2', 1.5::DOUBLE), (2, '0,2,1', -2.0)) v(depth, state, energy)")
+def many_starts(spark, sf_dir):
+    """A search may start from several states, of any length; depth counts steps."""
+    table = {"0,1": 3.0, "0,2": 1.5, "1,0": 2.0, "1,2": float("nan"), "0,2,1": -2.0, "1,0,2": 0.0}
+    start = frontier(spark, [[0], [1]], [[], []], [1.0, 1.0])
+    found = list(beam(table_energy(table), ascending(3), width=2, depth=2, beams=1)(start, 0))
+    return trace_frame(found, spark).select("depth", text(), "energy")
+
+
+_SMAP = [[0, 1], [2, 3]]
+
+
+@query()
+def smap_holdout(spark, sf_dir):
+    """Another predictor than simplex projection: locally weighted linear maps, fitted by least squares on the executors."""
+    _, e = cross.holdout(data=fixtures.embeddings(spark, sf_dir, 8), fold=_fold(_EMB_FOLD), predict=smap(1.0), metric=MAE)
+    return _energy(e(states(spark, _SMAP)))
+
+
 # Embedding and scan
 
 _LAGS = "emb AS (SELECT t, [v, lag(v, 2) OVER (ORDER BY t), lag(v, 4) OVER (ORDER BY t)] AS x FROM (SELECT t, x[3] AS v FROM hourly))"

@@ -34,7 +34,9 @@ def zscore_normalize(data: DataFrame, *, target: str, column: str = "x") -> Tran
     def apply(frame: DataFrame) -> DataFrame:
         for name in ("x", "y") if target == "both" else (target,):
             scale = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in zip(mean, std)])
-            frame = frame.withColumn(name, F.zip_with(F.col(name), scale, lambda v, c: ((v.cast("double") - c.m) / c.s).cast("float")))
+            scaled = F.zip_with(F.col(name), scale, lambda v, c: ((v.cast("double") - c.m) / c.s).cast("float"))
+            wrong = F.raise_error(F.concat(F.lit(f"{name} must have {len(mean)} features, got "), F.size(name).cast("string")))
+            frame = frame.withColumn(name, F.when(F.size(name) == len(mean), scaled).otherwise(wrong))
         return frame
 
     return apply

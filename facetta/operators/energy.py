@@ -65,13 +65,23 @@ class Energy:
             engine = "arrow" if self._fits() or not self._columnar else "columns"
         if engine == "arrow" and not self._fits():
             raise ValueError(f"the series is too large for engine 'arrow': over {BROADCAST_BYTES} bytes")
-        first = states.select(F.size("state").alias("d")).first()
-        if first is None:
+        shape = states.agg(
+            F.min(F.size("state")).alias("d"),
+            F.max(F.size("state")).alias("most"),
+            F.min(F.array_min("state")).alias("low"),
+            F.max(F.array_max("state")).alias("high"),
+            F.count(F.when(F.size("state") != F.size(F.array_distinct("state")), 1)).alias("twice"),
+        ).first()
+        if shape["d"] is None:
             return states.withColumn("energy", F.lit(0.0)).select(*states.columns, "energy")
         dx, dy = self.data.widths
         if self.within and dy < dx:
             raise ValueError(f"within-energies need a target column per series column, got {dy} for {dx}")
-        return (self._columns if engine == "columns" else self._arrow)(states, first["d"])
+        if shape["d"] != shape["most"]:
+            raise ValueError(f"states must have the same length, got {shape['d']} and {shape['most']}")
+        if shape["d"] < 1 or shape["low"] < 0 or shape["high"] >= dx or shape["twice"]:
+            raise ValueError(f"states must hold different column numbers from 0 to {dx - 1}, at least one")
+        return (self._columns if engine == "columns" else self._arrow)(states, shape["d"])
 
     # DataFrame engine
 

@@ -149,3 +149,8 @@ def trace_frame(trace: list[Frontier], spark: SparkSession) -> DataFrame:
     """``depth``, ``state``, ``context``, ``energy`` of a trajectory."""
     rows = [(k, r["state"], r["context"], r["energy"]) for k, f in enumerate(trace, 1) for r in f.rows()]
     return spark.createDataFrame(rows, "depth int, state array<bigint>, context array<double>, energy double")
+
+
+def write_trace(trace: DataFrame, path: str) -> None:
+    """A trajectory as Parquet, one file."""
+    trace.coalesce(1).write.mode("overwrite").parquet(path)

@@ -10,7 +10,7 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"lorenz96_recovery"}
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"lorenz96_recovery", "smap_holdout"}
 
 
 def test_lorenz96_recovery(spark):
@@ -22,3 +22,26 @@ def test_lorenz96_recovery(spark):
 def test_flagship_is_ordered(spark):
     rows = catalogue.flagship(spark, SF).collect()
     assert [r["energy"] for r in rows] == sorted(r["energy"] for r in rows)
+
+
+def test_smap_holdout(spark):
+    """The same numbers from the predictor on arrays."""
+    import numpy as np
+    from facetta.catalogue import _EMB_FOLD, _SMAP
+    from facetta.fixtures import embeddings
+    from facetta.operators import smap
+
+    rows = embeddings(spark, SF, 8).frame.orderBy("t").collect()
+    x, y = (np.array([r[c] for r in rows]) for c in "xy")
+    (a, b), (c, d) = _EMB_FOLD
+    got = {r["sid"]: r["energy"] for r in catalogue.queries()["smap_holdout"](spark, SF).collect()}
+    for i, s in enumerate(_SMAP):
+        want = np.abs(smap(1.0)(x[a:b][:, s], y[a:b], x[c:d][:, s]) - y[c:d]).mean()
+        assert got[i] == pytest.approx(want, abs=1e-6)
+
+
+def test_driver_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() == 8
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

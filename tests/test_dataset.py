@@ -118,3 +118,9 @@ def test_fold_frame_of_shuffled_rows(spark):
 def test_lorenz96_moves():
     x = lorenz96(K=5, T=50, rng=np.random.default_rng(0))
     assert x.shape == (50, 5) and np.isfinite(x).all() and x.std() > 0
+
+
+def test_zscore_of_other_width_fails(spark):
+    f = spark.createDataFrame([(0, [1.0, 2.0], [1.0])], "t long, x array<double>, y array<double>")
+    with pytest.raises(Exception, match="y must have 2 features, got 1"):
+        zscore_normalize(f, target="both")(f).collect()

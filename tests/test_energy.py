@@ -134,3 +134,17 @@ def test_constant_target_gives_nan_energy(spark):
 def test_errors_come_early(build, words):
     with pytest.raises(ValueError, match=words):
         build(None)
+
+
+@pytest.mark.parametrize("states", [[[0, 0]], [[0, 3]], [[-1, 0]], [[]], [[0], [1, 2]]])
+def test_bad_states(spark, states):
+    x, y, folds = problem(4)
+    _, e = cross.holdout(data=dataset(spark, x, y), fold=folds[0], predict=simplex, metric=MAE)
+    with pytest.raises(ValueError, match="states must"):
+        e(frame(spark, states, [[]] * len(states)))
+
+
+def test_no_states(spark):
+    x, y, folds = problem(4)
+    _, e = cross.holdout(data=dataset(spark, x, y), fold=folds[0], predict=simplex, metric=MAE)
+    assert e(frame(spark, [], [])).collect() == []
