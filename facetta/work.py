@@ -17,7 +17,7 @@ def work_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR).rstrip("/")
 
 
-#: Files a core, and rows a file at most, of a table with short rows; rows a file of one with texts.
+#: Partitions a core, and rows a partition at most, of a table with short rows; rows of one that holds or reads texts.
 FILES_PER_CORE, SHORT_ROWS, TEXT_ROWS = 2, 1_000_000, 20_000
 
 
@@ -30,15 +30,15 @@ def few_files(df: DataFrame, rows: int, *, texts: bool = False, per_core: int =
     return df.coalesce(max(1, per_core * cores, rows // (TEXT_ROWS if texts else SHORT_ROWS)))
 
 
-def staged(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+def staged(df: DataFrame, tag: str, rows: int | None = None, *, texts: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
     The files outlive any executor, and go when the driver's JVM ends. With ``rows``, about how many there are, it writes
-    few of them.
+    few of them; ``texts`` if they hold texts or are made from texts in the same stage.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/facetta-{tag}-{uuid.uuid4().hex}"
-    df = df if rows is None else few_files(df, rows)
+    df = df if rows is None else few_files(df, rows, texts=texts)
     df.write.option("compression", "zstd").parquet(path)
     fs, where = _hadoop(spark, path)
     fs.deleteOnExit(where)
