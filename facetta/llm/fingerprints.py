@@ -203,7 +203,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(names))
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return few_files(dealt.mapInArrow(apply, schema), docs.count(), per_core=4)
+    return few_files(dealt.mapInArrow(apply, schema), docs.count(), texts=True, per_core=4)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,7 +220,7 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     """The contract's columns for ``documents``, and ``accepted``."""
     model = fit(docs.select("doc_id", "text", "lang"))
     out = identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "accepted").transform(few_files, docs.count())
+    return out.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "accepted").transform(few_files, docs.count(), texts=True)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

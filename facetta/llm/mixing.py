@@ -119,7 +119,7 @@ def mix(df: DataFrame, *, seed: int = SEED, weights=WEIGHTS, share: float = SHAR
         "__hash": document_hash(seed),
     })
     rows = df.count()
-    hashed = staged(df.select(F.col("source").cast("string").alias("source"), "size", "__hash"), "mix", rows)
+    hashed = staged(df.select(F.col("source").cast("string").alias("source"), "size", "__hash"), "mix", rows, texts=True)
     plan, n = thresholds(hashed, weights=weights, share=share)
     more = (F.col("__hash") < F.col("__low")).cast("int")
     repeats = F.when(F.col("__base") >= MAX_REPEATS, F.lit(MAX_REPEATS)).otherwise(F.col("__base") + more)
@@ -130,7 +130,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """The contract's columns for ``documents``."""
     mixed = mix(docs.select("doc_id", "text", "source"))
     out = mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
-    return few_files(out, docs.count())
+    return few_files(out, docs.count(), texts=True)
 
 
 def keep_mixed(docs: DataFrame) -> DataFrame:

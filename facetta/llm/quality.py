@@ -156,7 +156,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(p)], names=["doc_id", "host", "path", "evidence"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    scored = staged(slim.mapInArrow(score, f"doc_id {kind}, host string, path string, evidence double"), "evidence", docs.count())
+    scored = staged(slim.mapInArrow(score, f"doc_id {kind}, host string, path string, evidence double"), "evidence", docs.count(), texts=True)
 
     e = F.col("evidence")
     sums = [F.count(F.lit(1)).alias("n"), F.sum(e).alias("s"), F.sum(e * e).alias("q")]

@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, *, tau: int = TAU) -> DataFrame:
     null; repeated rows come back as often as given; an empty table gives an empty result; other columns are ignored.
     """
     rows = docs.count()
-    own = staged(fingerprints(docs), "fingerprints", rows)
+    own = staged(fingerprints(docs), "fingerprints", rows, texts=True)
     nodes = staged(own.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")), "nodes", rows)
     n, both = bit_statistics(nodes)
     merged = nodes.withColumn("component", F.col("fp"))
