@@ -86,19 +86,24 @@ class Sketch:
         counts, sums, n = self.counts, self.sums, self.size
         first, second = set(), set()
         queue = [i for i, c in enumerate(counts) if c == 1 or c == -1]
-        while queue:
+        steps = 2 * len(counts)  # a sum that passes for a key by chance could go round for ever
+        while queue and steps:
             i = queue.pop()
             sign, k = counts[i], sums[i]
             if (sign != 1 and sign != -1) or (k >> 20) * _CHECK >> 30 & 0xFFFFF != k & 0xFFFFF:
                 continue  # not the cell of a single key
-            (first if sign > 0 else second).add(k)
             x = (k ^ n) * _SPREAD & _MASK
-            for j in ((x & 0xFFFFF) % n, n + (x >> 20 & 0xFFFFF) % n, 2 * n + (x >> 40 & 0xFFFFF) % n):
+            cells = (x & 0xFFFFF) % n, n + (x >> 20 & 0xFFFFF) % n, 2 * n + (x >> 40 & 0xFFFFF) % n
+            if i not in cells:
+                continue
+            steps -= 1
+            (first if sign > 0 else second).add(k)
+            for j in cells:
                 c = counts[j] = counts[j] - sign
                 sums[j] ^= k
                 if c == 1 or c == -1:
                     queue.append(j)
-        return None if any(counts) or any(sums) else (first, second)
+        return None if any(counts) or any(sums) or first & second else (first, second)
 
     def __str__(self) -> str:
         return struct.pack(f">{len(self.counts)}h{len(self.sums)}Q", *[(c + 0x8000) % 0x10000 - 0x8000 for c in self.counts], *self.sums).hex()
