@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -30,28 +29,29 @@ _CHECK, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _PIECE = re.compile(r"[^\n.!?|]*[\n.!?|]+|[^\n.!?|]+")
 
 
-def pieces(text: str) -> Iterator[str]:
+def pieces(text: str) -> list[str]:
     """A text's paragraphs, cut at sentence ends and, where there are none, after PIECE_CHARS characters."""
-    for m in _PIECE.finditer(text):
-        whole = m.group().strip()
-        for at in range(0, len(whole), PIECE_CHARS):
-            yield whole[at : at + PIECE_CHARS]
-
-
-def _key(h: int) -> int:
-    """A key from a hash: 44 bits of it, and 20 bits that check them."""
-    return h >> 20 << 20 | (h >> 20) * _CHECK >> 30 & 0xFFFFF
+    out = []
+    for piece in _PIECE.findall(text):
+        piece = piece.strip()
+        if len(piece) <= PIECE_CHARS:
+            if piece:
+                out.append(piece)
+        else:
+            out += [piece[at : at + PIECE_CHARS] for at in range(0, len(piece), PIECE_CHARS)]
+    return out
 
 
 def digests(text: str) -> set[int]:
-    """Keys of the pieces; the second of two equal pieces has another key than the first."""
-    out: set[int] = set()
-    h = xxhash.xxh3_64_intdigest
-    for piece in pieces(text):
-        k = _key(h(piece))
-        while k in out:
-            k = _key(h(k.to_bytes(8, "little")))
-        out.add(k)
+    """Keys of the pieces: 44 bits of a hash, and 20 bits that check them. The second of two equal pieces has another key."""
+    hashed = [h >> 20 for h in map(xxhash.xxh3_64_intdigest, pieces(text))]
+    out = {h << 20 | h * _CHECK >> 30 & 0xFFFFF for h in hashed}
+    if len(out) < len(hashed):
+        out = set()
+        for h in hashed:
+            while (k := h << 20 | h * _CHECK >> 30 & 0xFFFFF) in out:
+                h = xxhash.xxh3_64_intdigest(h.to_bytes(8, "little")) >> 20
+            out.add(k)
     return out
 
 
