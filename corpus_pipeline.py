@@ -1,7 +1,13 @@
 """A training-corpus pipeline: five of the training-data operators, one after the other, over ``documents``.
 
 Each stage's result is written as Parquet to the shared folder and read again, so a lost executor costs at most a stage's
-tasks. Every stage but the last returns the columns of ``documents``.
+tasks. Every stage but the last returns the columns of ``documents``, and further columns that it is given.
+
+In every stage an empty table gives an empty result, extra columns may have any names, and of repeated rows:
+language ID and decontamination keep or drop them alike, near-duplicate removal keeps one, mixing takes each as often as
+the others, sharding gives each a slot. Nulls: language ID drops a null text, as it does a text without letters;
+near-duplicate removal takes a null text for an empty one and a null doc_id for the largest; decontamination keeps a null
+text; for mixing a null text has no words and a null source is the last source; sharding takes a null text for an empty one.
 """
 
 from __future__ import annotations
