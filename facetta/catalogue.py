@@ -288,15 +288,21 @@ def metric_mean_rho(spark, sf_dir):
     return _metric(spark, sf_dir, MEAN_RHO)
 
 
-# Simplex projection. Folds are fixed to what every scale factor has: 499 embedding rows, 719 hours.
+# Simplex projection, over all rows: the last fifth is predicted from the rest, or of the rest the last quarter.
 
-_EMB_FOLD = ((0, 300), (300, 399))
-_OUTER, _INNER = ((0, 399), (399, 499)), ((0, 299), (299, 399))
 _PAIRS = [[0, 1], [2, 3], [1, 2]]
 
 
-def _fold(f) -> Fold:
-    return Fold(range(*f[0]), range(*f[1]))
+def outer_fold(data: Dataset) -> Fold:
+    return temporal_fold(len(data), 0.8)
+
+
+def inner_fold(train: Dataset) -> Fold:
+    return temporal_fold(len(train), 0.75)
+
+
+def training(data: Dataset) -> Subset:
+    return Subset(data, outer_fold(data).train)
 
 
 _PRED = "SELECT CAST(sid AS BIGINT) AS sid, tq, CAST(target AS INTEGER) AS target, round(pred, 6) AS pred, round(obs, 6) AS obs FROM pred"
@@ -306,30 +312,24 @@ def _pred(rows: DataFrame) -> DataFrame:
     return rows.select("sid", "tq", "target", r6("pred").alias("pred"), r6("obs").alias("obs"))
 
 
-@query(q(oracle.emb(8), oracle.states(_PAIRS), oracle.arms([_EMB_FOLD]), oracle.simplex(2), select=_PRED))
+@query(q(oracle.emb(8), oracle.states(_PAIRS), oracle.arms([oracle.OUTER]), oracle.simplex(2), select=_PRED))
 def simplex_predict(spark, sf_dir):
     d = fixtures.embeddings(spark, sf_dir, 8)
-    rows = fold_frame(spark, [_fold(_EMB_FOLD)]).join(d.frame, "t")
+    rows = fold_frame(spark, [outer_fold(d)]).join(d.frame, "t")
     arm = lambda a: rows.where(F.col("arm") == a)
     return _pred(simplex_predictions(states(spark, _PAIRS), arm("validation"), arm("train"), 2, rows=len(d), width=9))
 
 
-_EMB500 = oracle.emb(8, rows=499)
-
-
-def _emb500(spark, sf_dir, d: int = 8) -> Dataset:
-    """The first 499 rows: leave-one-out is quadratic in the rows."""
-    return Subset(fixtures.embeddings(spark, sf_dir, d), range(499))
-
-
-@query(q(_EMB500, oracle.states(_PAIRS[:2]), oracle.LOO_ARMS, oracle.simplex(2, theiler=0), select=_PRED))
+@query(q(oracle.emb(8), oracle.states(_PAIRS[:2]), oracle.LOO_ARMS, oracle.simplex(2, theiler=0), select=_PRED))
 def simplex_loo(spark, sf_dir):
-    return _pred(loo_predictions(states(spark, _PAIRS[:2]), _emb500(spark, sf_dir).frame, 2, rows=499, width=9))
+    d = fixtures.embeddings(spark, sf_dir, 8)
+    return _pred(loo_predictions(states(spark, _PAIRS[:2]), d.frame, 2, rows=len(d), width=9))
 
 
-@query(q(_EMB500, oracle.states(_PAIRS[:2]), oracle.LOO_ARMS, oracle.simplex(2, theiler=2), select=_PRED))
+@query(q(oracle.emb(8), oracle.states(_PAIRS[:2]), oracle.LOO_ARMS, oracle.simplex(2, theiler=2), select=_PRED))
 def simplex_loo_theiler2(spark, sf_dir):
-    return _pred(loo_predictions(states(spark, _PAIRS[:2]), _emb500(spark, sf_dir).frame, 2, rows=499, width=9, theiler=2))
+    d = fixtures.embeddings(spark, sf_dir, 8)
+    return _pred(loo_predictions(states(spark, _PAIRS[:2]), d.frame, 2, rows=len(d), width=9, theiler=2))
 
 
 # Energies
@@ -350,17 +350,19 @@ def _colsum(X, Y, Q, *, mask=None):  # noqa: N803
 _COLSUM = "pred AS (SELECT sid, fold_id, pos AS tq, 0 AS target, list_sum(list_transform(state, lambda j: CAST(x[j + 1] AS DOUBLE))) AS pred, CAST(y[1] AS DOUBLE) AS obs FROM qry, s)"
 
 
-@query(q(oracle.emb(8), oracle.states(_PAIRS), oracle.arms([_EMB_FOLD]), _COLSUM, oracle.metric("mae"), select=_ENERGY))
+@query(q(oracle.emb(8), oracle.states(_PAIRS), oracle.arms([oracle.OUTER]), _COLSUM, oracle.metric("mae"), select=_ENERGY))
 def cross_holdout_colsum(spark, sf_dir):
-    _, e = cross.holdout(data=fixtures.embeddings(spark, sf_dir, 8), fold=_fold(_EMB_FOLD), predict=_colsum, metric=MAE, batch_size=2)
+    data = fixtures.embeddings(spark, sf_dir, 8)
+    _, e = cross.holdout(data=data, fold=outer_fold(data), predict=_colsum, metric=MAE, batch_size=2)
     return _energy(e(states(spark, _PAIRS)))
 
 
-_HOLDOUT_SQL = q(oracle.emb(8), oracle.states(_PAIRS), oracle.arms([_EMB_FOLD]), oracle.simplex(2), oracle.metric("corr"), select=_ENERGY)
+_HOLDOUT_SQL = q(oracle.emb(8), oracle.states(_PAIRS), oracle.arms([oracle.OUTER]), oracle.simplex(2), oracle.metric("corr"), select=_ENERGY)
 
 
 def _holdout(spark, sf_dir, engine):
-    _, e = cross.holdout(data=fixtures.embeddings(spark, sf_dir, 8), fold=_fold(_EMB_FOLD), predict=simplex, metric=CORR, engine=engine)
+    data = fixtures.embeddings(spark, sf_dir, 8)
+    _, e = cross.holdout(data=data, fold=outer_fold(data), predict=simplex, metric=CORR, engine=engine)
     return _energy(e(states(spark, _PAIRS)))
 
 
@@ -374,31 +376,35 @@ def arrow_holdout_equiv(spark, sf_dir):
     return _holdout(spark, sf_dir, "arrow")
 
 
-_EV_FOLDS = [((k * 144, k * 144 + 288), (k * 144 + 288, k * 144 + 432)) for k in range(2)]
+def event_folds(data: Dataset) -> list[Fold]:
+    n, a, b = len(data), int(len(data) * 0.4 + 1e-9), int(len(data) * 0.2 + 1e-9)
+    return sliding_folds(n, a, b, b)[:3]
+
+
 _ONES, _TWOS = [[0], [1], [2]], [[0, 1], [2, 3], [4, 0]]
-_CTX = [[0.5, 0.25], [0.0, 1.0], [3.0, 2.0]]
-_LISTS = ", ".join(f"round(m[{k + 1}], 6) AS m{k}" for k in range(2))
+_CTX = [[0.5, 0.25, 0.1], [0.0, 1.0, 0.5], [3.0, 2.0, 2.5]]
+_LISTS = ", ".join(f"round(m[{k + 1}], 6) AS m{k}" for k in range(3))
 _FOLDED = f"SELECT CAST(sid AS BIGINT) AS sid, round(energy, 6) AS energy, {_LISTS} FROM e"
 
 
 def _folds_sql(rows, d, ctx, *, within_: bool, temperature: float = 1.0, metric: str = "mae") -> str:
     context = "CASE sid " + " ".join(f"WHEN {i} THEN CAST({c} AS DOUBLE[])" for i, c in enumerate(ctx)) + " END"
     return q(
-        oracle.ev(cross=not within_), oracle.states(rows), oracle.arms(_EV_FOLDS), oracle.simplex(d, within=within_), oracle.metric(metric),
+        oracle.ev(cross=not within_), oracle.states(rows), oracle.arms(oracle.sliding(3)), oracle.simplex(d, within=within_), oracle.metric(metric),
         oracle.fold_energy(temperature, context), select=_FOLDED,
     )
 
 
 def _folds(spark, sf_dir, kind, rows, ctx, temperature=1.0, engine="columns"):
     data = fixtures.events(spark, sf_dir, cross=kind is cross)
-    _, e = kind.folds(data=data, folds=[_fold(f) for f in _EV_FOLDS], predict=simplex, metric=MAE, weight=softmax(temperature), engine=engine)
+    _, e = kind.folds(data=data, folds=event_folds(data), predict=simplex, metric=MAE, weight=softmax(temperature), engine=engine)
     out = e(states(spark, rows, ctx))
-    return out.select("sid", r6("energy").alias("energy"), *[r6(F.get("context", F.lit(k))).alias(f"m{k}") for k in range(2)])
+    return out.select("sid", r6("energy").alias("energy"), *[r6(F.get("context", F.lit(k))).alias(f"m{k}") for k in range(3)])
 
 
-@query(_folds_sql(_ONES, 1, [[0.0, 0.0]] * 3, within_=False))
+@query(_folds_sql(_ONES, 1, [[0.0, 0.0, 0.0]] * 3, within_=False))
 def cross_folds_depth1(spark, sf_dir):
-    return _folds(spark, sf_dir, cross, _ONES, [[0.0, 0.0]] * 3)
+    return _folds(spark, sf_dir, cross, _ONES, [[0.0, 0.0, 0.0]] * 3)
 
 
 @query(_folds_sql(_TWOS, 2, _CTX, within_=False, temperature=0.5))
@@ -411,15 +417,16 @@ def arrow_folds_equiv(spark, sf_dir):
     return _folds(spark, sf_dir, cross, _TWOS, _CTX, 0.5, "arrow")
 
 
-@query(q(_EMB500, oracle.states(_PAIRS), oracle.LOO_ARMS, oracle.simplex(2, theiler=1), oracle.metric("corr"), select=_ENERGY))
+@query(q(oracle.emb(8), oracle.states(_PAIRS), oracle.LOO_ARMS, oracle.simplex(2, theiler=1), oracle.metric("corr"), select=_ENERGY))
 def cross_loo(spark, sf_dir):
-    _, e = cross.loo(data=_emb500(spark, sf_dir), metric=CORR, theiler_window=1, engine="columns")
+    _, e = cross.loo(data=fixtures.embeddings(spark, sf_dir, 8), metric=CORR, theiler_window=1, engine="columns")
     return _energy(e(states(spark, _PAIRS)))
 
 
-@query(q(oracle.ev(cross=False), oracle.states(_TWOS), oracle.arms(_EV_FOLDS[:1]), oracle.simplex(2, within=True), oracle.metric("rmse"), select=_ENERGY))
+@query(q(oracle.ev(cross=False), oracle.states(_TWOS), oracle.arms([oracle.OUTER]), oracle.simplex(2, within=True), oracle.metric("rmse"), select=_ENERGY))
 def within_holdout(spark, sf_dir):
-    _, e = within.holdout(data=fixtures.events(spark, sf_dir, cross=False), fold=_fold(_EV_FOLDS[0]), predict=simplex, metric=RMSE, engine="columns")
+    data = fixtures.events(spark, sf_dir, cross=False)
+    _, e = within.holdout(data=data, fold=outer_fold(data), predict=simplex, metric=RMSE, engine="columns")
     return _energy(e(states(spark, _TWOS)))
 
 
@@ -502,12 +509,12 @@ _TRACE = f"SELECT CAST(depth AS INTEGER) AS depth, {oracle.joined()} AS state, r
 
 def _trace_sql(depth: int, *, width: int = 1, name: str = "corr") -> str:
     rows = " UNION ALL ".join(f"SELECT * FROM best{d}" for d in range(1, depth + 1))
-    return q(oracle.emb(6), oracle.arms([_INNER]), oracle.search(6, depth, name, width=width), select=_TRACE.format(rows=rows))
+    return q(oracle.emb(6), oracle.arms([oracle.INNER]), oracle.search(6, depth, name, width=width), select=_TRACE.format(rows=rows))
 
 
 def _search(spark, sf_dir, make, metric=CORR, engine="auto"):
-    data = Subset(fixtures.embeddings(spark, sf_dir, 6), range(399))
-    context, e = cross.holdout(data=data, fold=_fold(_INNER), predict=simplex, metric=metric, engine=engine)
+    data = training(fixtures.embeddings(spark, sf_dir, 6))
+    context, e = cross.holdout(data=data, fold=inner_fold(data), predict=simplex, metric=metric, engine=engine)
     return list(make(e, forward(6))(initial_frontier(spark, context), 0))
 
 
@@ -525,15 +532,18 @@ def greedy_trace_columns(spark, sf_dir):
     return _trace(spark, _search(spark, sf_dir, lambda e, n: greedy(e, n, depth=2), engine="columns"))
 
 
-@query(_trace_sql(3, width=2))
+@query(_trace_sql(3, width=2).replace(oracle.joined(), oracle.joined("list_sort(state)")))
 def beam_trace(spark, sf_dir):
-    return _trace(spark, _search(spark, sf_dir, lambda e, n: beam(e, n, width=2, depth=3, beams=1)))
+    """States as sets: a wider beam reaches a set in several orders, which tie."""
+    found = trace_frame(_search(spark, sf_dir, lambda e, n: beam(e, n, width=2, depth=3, beams=1)), spark)
+    return found.withColumn("state", F.array_sort("state")).select("depth", text(), r6("energy").alias("energy"))
 
 
-@query(_trace_sql(2, width=2))
+@query(_trace_sql(2, width=2).replace(oracle.joined(), oracle.joined("list_sort(state)")))
 def chokudai_trace(spark, sf_dir):
     """Width one twice: at depth two the same states as one pass of width two."""
-    return _trace(spark, _search(spark, sf_dir, lambda e, n: beam(e, n, width=1, depth=2, beams=2)))
+    found = trace_frame(_search(spark, sf_dir, lambda e, n: beam(e, n, width=1, depth=2, beams=2)), spark)
+    return found.withColumn("state", F.array_sort("state")).select("depth", text(), r6("energy").alias("energy"))
 
 
 _TABLE = {"0": 0.0, "1": 1.0, "2": 2.0, "0,1": 10.0, "0,2": 11.0, "1,0": 8.0, "1,2": -5.0}
@@ -586,7 +596,8 @@ _SMAP = [[0, 1], [2, 3]]
 @query()
 def smap_holdout(spark, sf_dir):
     """Another predictor than simplex projection: locally weighted linear maps, fitted by least squares on the executors."""
-    _, e = cross.holdout(data=fixtures.embeddings(spark, sf_dir, 8), fold=_fold(_EMB_FOLD), predict=smap(1.0), metric=MAE)
+    data = fixtures.embeddings(spark, sf_dir, 8)
+    _, e = cross.holdout(data=data, fold=outer_fold(data), predict=smap(1.0), metric=MAE)
     return _energy(e(states(spark, _SMAP)))
 
 
@@ -607,13 +618,13 @@ def _scan_ctes() -> list[str]:
     out, rows = [oracle.ev(cross=True)], []
     for e in _GRID["E"]:
         for lag in _GRID["tau"]:
-            n = 719 - (e - 1) * lag
-            cut = int(n * 0.8 + 1e-9)
+            n = f"({oracle.N} - {(e - 1) * lag})"
+            cut = oracle.part(n, 0.8)
             for c in _GRID["columns"]:
                 tag = f"_{c}_{e}_{lag}"
                 lags = ", ".join(f"lag(x[{c + 1}], {k * lag}) OVER (ORDER BY t)" for k in range(e))
                 out.append(f"d{tag} AS (SELECT t - {(e - 1) * lag} AS t, x, y FROM (SELECT t, [{lags}] AS x, y FROM data) WHERE t >= {(e - 1) * lag})")
-                out.append(oracle.arms([((0, cut), (cut, n))], source=f"d{tag}", tag=tag))
+                out.append(oracle.arms([(("0", cut), (cut, n))], source=f"d{tag}", tag=tag))
                 out.append(f"s{tag} AS (SELECT 0 AS sid, CAST({list(range(e))} AS BIGINT[]) AS state)")
                 out += [oracle.simplex(e, s=f"s{tag}", tag=tag, arm=tag), oracle.metric("mean_rho", tag)]
                 rows.append(f"SELECT {c} AS col, {e} AS E, {lag} AS tau, value AS score FROM m{tag}")
@@ -648,12 +659,13 @@ def prefilter(spark, sf_dir):
 
 
 def _checked_ctes(depth: int, name: str = "corr") -> list[str]:
-    return [oracle.emb(6), oracle.arms([_INNER]), oracle.search(6, depth, name), oracle.validation(depth, name, _OUTER)]
+    return [oracle.emb(6), oracle.arms([oracle.INNER]), oracle.search(6, depth, name), oracle.validation(depth, name, oracle.OUTER)]
 
 
 def _checked(spark, sf_dir, depth: int, metric=CORR):
     trace = trace_frame(_search(spark, sf_dir, lambda e, n: greedy(e, n, depth=depth), metric), spark)
-    return validate_trace(trace, fixtures.embeddings(spark, sf_dir, 6), _fold(_OUTER), metric=metric)
+    data = fixtures.embeddings(spark, sf_dir, 6)
+    return validate_trace(trace, data, outer_fold(data), metric=metric)
 
 
 @query(q(*_checked_ctes(2), select=f"SELECT CAST(depth AS INTEGER) AS depth, {oracle.joined()} AS state, round(energy, 6) AS energy, round(validation, 6) AS validation FROM checked"))
@@ -678,8 +690,8 @@ def _sweep_part(name: str) -> str:
 
 @query(" UNION ALL ".join(_sweep_part(m) for m in ("mae", "corr")))
 def sweep_small(spark, sf_dir):
-    holdout = lambda data, metric: cross.holdout(data=data, fold=_fold(_INNER), predict=simplex, metric=metric)
-    data = Subset(fixtures.embeddings(spark, sf_dir, 6), range(499))
+    holdout = lambda data, metric: cross.holdout(data=data, fold=inner_fold(data), predict=simplex, metric=metric)
+    data = fixtures.embeddings(spark, sf_dir, 6)
     out = sweep(data, metrics=[MAE, CORR], energies={"holdout": holdout}, strategies={"greedy": lambda e, n: greedy(e, n, depth=2)})
     return out.select("metric", "energy", "strategy", "step", text("selected"), r6("train").alias("train"), r6("validation").alias("validation"))
 
@@ -695,13 +707,13 @@ def lorenz96_recovery(spark, sf_dir):
 _FLAGSHIP = [[j] for j in range(8)]
 
 
-@query(q(oracle.emb(8), oracle.states(_FLAGSHIP), oracle.arms([_INNER]), oracle.simplex(1), oracle.metric("corr"), select=_ENERGY))
+@query(q(oracle.emb(8), oracle.states(_FLAGSHIP), oracle.arms([oracle.INNER]), oracle.simplex(1), oracle.metric("corr"), select=_ENERGY))
 def single_columns(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every single column scored on the inner fold, best first: greedy depth one."""
-    data = Subset(fixtures.embeddings(spark, sf_dir, 8), range(399))
-    _, e = cross.holdout(data=data, fold=_fold(_INNER), predict=simplex, metric=CORR, engine="columns")
+    data = training(fixtures.embeddings(spark, sf_dir, 8))
+    _, e = cross.holdout(data=data, fold=inner_fold(data), predict=simplex, metric=CORR, engine="columns")
     return _energy(e(states(spark, _FLAGSHIP))).orderBy("energy", "sid")

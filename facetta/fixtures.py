@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .sources import Dataset, horizon_shift
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
-HOURS = 720
 START = "2024-01-01 00:00:00"
 
 
@@ -20,12 +19,12 @@ def embeddings(spark: SparkSession, sf_dir: str, d: int) -> Dataset:
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``t`` (hours from the start), ``x`` (total value of each event type), dense."""
+    """``t`` (hours from the start), ``x`` (total value of each event type), with a row for each hour up to the last event."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_type", "value")
     hour = F.expr(f"timestampdiff(HOUR, timestamp_ntz'{START}', ts)")
     sums = [F.coalesce(F.round(F.sum(F.when(F.col("event_type") == e, F.col("value"))), 4), F.lit(0.0)) for e in EVENT_TYPES]
     found = raw.groupBy(hour.cast("long").alias("t")).agg(F.array(*sums).cast("array<float>").alias("x"))
-    hours = spark.range(HOURS).select(F.col("id").alias("t"))
+    hours = found.agg(F.max("t").alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("t"))
     none = F.array(*[F.lit(0.0)] * len(EVENT_TYPES)).cast("array<float>")
     return hours.join(found, "t", "left").select("t", F.coalesce("x", none).alias("x"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import EVENT_TYPES, HOURS, START
+from .fixtures import EVENT_TYPES, START
 
 
 def q(*ctes: str, select: str) -> str:
@@ -10,14 +10,32 @@ def q(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(dict.fromkeys(ctes)) + "\n" + select
 
 
-def emb(d: int, rows: int | None = None) -> str:
-    less = f" AND t < {rows}" if rows else ""
+def emb(d: int) -> str:
     return f"""data AS (SELECT * FROM (SELECT vec_id AS t, embedding[1:{d}] AS x, [lead(embedding[1]) OVER (ORDER BY vec_id)] AS y FROM embeddings)
-      WHERE t < (SELECT max(vec_id) FROM embeddings){less})"""
+      WHERE t < (SELECT max(vec_id) FROM embeddings))"""
+
+
+#: Number of rows of the series, and the first ``ratio`` of a number of rows.
+N = "(SELECT count(*) FROM data)"
+
+
+def part(rows: str, ratio: float) -> str:
+    return f"CAST(floor({rows} * {ratio} + 1e-9) AS BIGINT)"
+
+
+TRAIN = part(N, 0.8)
+OUTER = (("0", TRAIN), (TRAIN, N))
+INNER = (("0", part(TRAIN, 0.75)), (part(TRAIN, 0.75), TRAIN))
+
+
+def sliding(folds: int) -> list:
+    """Windows of two fifths, each validated on the next fifth."""
+    a, b = part(N, 0.4), part(N, 0.2)
+    return [((f"{k} * {b}", f"({k} * {b} + {a})"), (f"({k} * {b} + {a})", f"({k} * {b} + {a} + {b})")) for k in range(folds)]
 
 
 HOURLY = f"""hourly AS (SELECT h.t, [{", ".join(f"CAST(coalesce(round(sum(value) FILTER (event_type = '{e}'), 4), 0) AS FLOAT)" for e in EVENT_TYPES)}] AS x
-      FROM (SELECT unnest(range(0, {HOURS})) AS t) h LEFT JOIN (SELECT datesub('hour', TIMESTAMP '{START}', ts) AS t, event_type, value FROM events) e ON e.t = h.t
+      FROM (SELECT unnest(range(0, (SELECT max(datesub('hour', TIMESTAMP '{START}', ts)) FROM events) + 1)) AS t) h LEFT JOIN (SELECT datesub('hour', TIMESTAMP '{START}', ts) AS t, event_type, value FROM events) e ON e.t = h.t
       GROUP BY h.t)"""
 
 
@@ -34,8 +52,8 @@ def states(rows: list[list[int]], name: str = "s") -> str:
     return f"{name} AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({r} AS BIGINT[]))" for i, r in enumerate(rows)) + ") v(sid, state))"
 
 
-def arms(folds: list[tuple[tuple[int, int], tuple[int, int]]], source: str = "data", tag: str = "") -> str:
-    """Library and query rows of contiguous folds ((train from, to), (validation from, to))."""
+def arms(folds: list, source: str = "data", tag: str = "") -> str:
+    """Library and query rows of contiguous folds ((train from, to), (validation from, to)); bounds are SQL."""
     out = []
     for name, k in (("lib", 0), ("qry", 1)):
         parts = [f"SELECT {i} AS fold_id, t - {f[k][0]} AS pos, x, y FROM {source} WHERE t >= {f[k][0]} AND t < {f[k][1]}" for i, f in enumerate(folds)]
