@@ -43,7 +43,10 @@ def neighbours(states: DataFrame, queries: DataFrame, library: DataFrame, d: int
     q = queries.select("fold_id", F.col("pos").alias("tq"), F.col("x").alias("xq"), F.col("y").alias("yq"))
     lib = library.select("fold_id", F.col("pos").alias("tl"), F.col("x").alias("xl"), F.col("y").alias("yl"))
     if rows * width * 8 <= BROADCAST_BYTES:
-        pairs = q.crossJoin(s).join(F.broadcast(lib), "fold_id")
+        # Dealt by query once: the top-k and the prediction need no further exchange.
+        spark = queries.sparkSession
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        pairs = q.repartition(tasks, "tq").crossJoin(s).join(F.broadcast(lib), "fold_id")
     else:
         blocks = -(-rows // BLOCK_ROWS)
         q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
