@@ -22,13 +22,13 @@ from pyspark.sql import types as T
 from .common import few_files, table
 
 #: Documents a language gives to the training sample at most; the languages that are learned at most.
-PER_LANGUAGE, MAX_LANGUAGES = 1_000, 200
+PER_LANGUAGE, MAX_LANGUAGES = 500, 200
 BUCKET_BITS, DIM, EPOCHS, RATE = 16, 16, 4, 0.5
 NGRAMS = (2, 3, 4)
 FOLDS = 5
 UNDETERMINED = "und"
-#: Share of rightly labelled calibration documents that may be rejected, and the threshold at most.
-REJECT_RIGHT, MAX_THRESHOLD = 0.001, 0.6
+#: Share of rightly labelled calibration documents that may be rejected; the threshold at most, and at least in even shares.
+REJECT_RIGHT, MAX_THRESHOLD, LEAST_SHARES = 0.001, 0.4, 1.3
 SEED = 77
 _CHUNK = 1 << 20
 _WORDISH = re.compile(r"[^\W\d_]")
@@ -146,8 +146,8 @@ def calibrate(model: Model, rows: list) -> Model:
     model.temperature = float(grid[int(np.argmin(loss))])
     p = softmax(z / model.temperature)
     right = p.argmax(axis=1) == y
-    floor = 1.5 / len(model.langs) if len(model.langs) > 1 else 0.0
-    model.threshold = float(min(MAX_THRESHOLD, max(floor, np.quantile(p.max(axis=1)[right], REJECT_RIGHT)))) if right.any() else 0.0
+    floor = LEAST_SHARES / len(model.langs) if len(model.langs) > 1 else 0.0
+    model.threshold = float(max(floor, min(MAX_THRESHOLD, np.quantile(p.max(axis=1)[right], REJECT_RIGHT)))) if right.any() else 0.0
     return model
 
 
