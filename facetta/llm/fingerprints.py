@@ -14,7 +14,7 @@ import struct
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import few_files, table
@@ -145,6 +145,28 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
+def _numbers(values: list) -> Column:
+    """A constant array, made from one string however many there are."""
+    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast("array<bigint>")
+
+
+def _rank(key: Column, marks: list[int]) -> Column:
+    """How many of the sorted ``marks`` are at most ``key``, by binary search in a constant array."""
+    if not marks:
+        return F.lit(0)
+    array = _numbers(marks)
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.floor((a.lo + a.hi) / 2).cast("int")
+        right = F.get(array, mid) <= key
+        lo = F.when((a.lo < a.hi) & right, mid + 1).otherwise(a.lo)
+        hi = F.when((a.lo < a.hi) & ~right, mid).otherwise(a.hi)
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(marks).bit_length() + 1))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(marks)).alias("hi")), halve).lo
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """The contract's columns for ``documents``.
 
@@ -162,14 +184,18 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
     marks = rows.select(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
     marks = sorted(set(marks))
-    bucket = F.size(F.filter(F.array(*[F.lit(x) for x in marks]), lambda x: x <= F.col("key"))) if marks else F.lit(0)
+    bucket = _rank(F.col("key"), marks)
     # One row a bucket; the number of buckets is fixed by the number of partitions.
     heads = sorted((r[0], r[1]) for r in rows.groupBy(bucket.alias("b")).agg(F.min("key").alias("k")).collect())
-    before = [(heads[i - 1][0], k) for i, (_, k) in enumerate(heads)]
-    sent = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(k).alias("k")) for b, k in before]) if before else F.array().cast("array<struct<b:int,k:long>>")
-    copies = F.transform(F.filter(sent, lambda x: x.k == F.col("key")), lambda x: F.struct(x.b.alias("b"), F.lit(1).alias("late")))
+    first, before = [None] * (len(marks) + 1), [None] * (len(marks) + 1)
+    for i, (b, k) in enumerate(heads):
+        first[b], before[b] = k, heads[i - 1][0]
+    again = F.get(_numbers(first), bucket) == F.col("key")  # the head of a bucket also goes to the one before
+    own = F.struct(bucket.alias("b"), F.lit(0).alias("late"))
+    late = F.struct(F.get(_numbers(before), bucket).cast("int").alias("b"), F.lit(1).alias("late"))
+    copies = F.when(again, F.array(own, late)).otherwise(F.array(own))
     dealt = (
-        rows.withColumn("__to", F.explode(F.concat(F.array(F.struct(bucket.alias("b"), F.lit(0).alias("late"))), copies)))
+        rows.withColumn("__to", F.explode(copies))
         .select(F.col("__to.b").alias("b"), F.col("__to.late").alias("late"), "key", "doc_id", "text")
         .repartition("b")
         .sortWithinPartitions("b", "late", "key", F.xxhash64("text"))
