@@ -39,7 +39,9 @@ def staged(df: DataFrame, tag: str, rows: int | None = None, *, texts: bool = Fa
     spark = df.sparkSession
     path = f"{work_dir(spark)}/facetta-{tag}-{uuid.uuid4().hex}"
     df = df if rows is None else few_files(df, rows, texts=texts)
-    df.write.option("compression", "zstd").parquet(path)
+    # Readers get the path only once the write is over: no mark of success is needed.
+    plain = df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    plain.option("compression", "zstd").parquet(path)
     fs, where = _hadoop(spark, path)
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
