@@ -51,14 +51,14 @@ def laid_out(docs: DataFrame) -> DataFrame:
 def rarest_words(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """``wins`` with ``id``, ``word`` (the window's rarest over all documents) and ``off``, where it stands in the window."""
     spark = docs.sparkSession
-    vocabulary = staged(wins.select(F.explode("window").alias("word")).distinct(), "vocabulary", 0)
+    vocabulary = wins.select(F.explode("window").alias("word")).distinct()
     blocks = max(1, -(-vocabulary.count() // BLOCK_WORDS))
     counts = []
     for b in range(blocks):
         own = vocabulary.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b) if blocks > 1 else vocabulary
         met = laid_out(docs.select("text")).join(F.broadcast(own), F.col("__word") == F.col("word"))
         counts.append(met.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    known = staged(reduce(DataFrame.unionByName, counts), "counts", 0)
+    known = reduce(DataFrame.unionByName, counts)
     each = wins.withColumn("id", F.xxhash64("window")).select("id", "window", "len", "items", F.posexplode("window").alias("off", "word"))
     ranked = each.join(known, "word", "left").groupBy("id", "window", "len", "items")
     best = ranked.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "off")).alias("b"))
@@ -128,7 +128,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows."""
     bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     same = docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__hash"))
-    return few_files(docs.join(staged(bad, "bad", 0), same, "left_anti"), docs.count(), texts=True)
+    return few_files(docs.join(bad, same, "left_anti"), docs.count(), texts=True)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
