@@ -23,6 +23,21 @@ SEED = 20_240
 BUCKET_ROWS = 200_000
 BUCKET_BYTES = 64 << 20
 MIN_BUCKETS = 64
+#: Bytes that a record takes in memory besides its values of varying length.
+RECORD_BYTES = 64
+
+
+def memory_bytes(schema: T.StructType) -> Column:
+    """Bytes of a record in memory: those of its texts and binaries, of nested values as text, and RECORD_BYTES."""
+    total = F.lit(RECORD_BYTES).cast("long")
+    for f in schema.fields:
+        value = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            value = value.cast("string")
+        elif not isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            continue
+        total = total + utf8_bytes(value)
+    return total
 
 
 def shuffle_into_shards(
@@ -36,8 +51,8 @@ def shuffle_into_shards(
 ) -> DataFrame:
     """``df`` with ``shard`` (int, 0 to ``shards`` - 1) and ``slot`` (long, gapless from 0 in each shard).
 
-    Shards differ by at most one row. ``size`` gives a record's bytes in memory (default: 64 a record); buckets hold
-    about ``bucket_rows`` records and ``bucket_bytes`` bytes.
+    Shards differ by at most one row. ``size`` gives a record's bytes in memory (default: ``memory_bytes`` of its
+    columns); buckets hold about ``bucket_rows`` records and ``bucket_bytes`` bytes.
 
     Nulls hash and are kept like other values; an empty table gives an empty result; repeated rows are kept, each with a
     slot of its own; rows that are alike in all columns are interchangeable. Columns named ``shard`` or ``slot`` in the
@@ -51,11 +66,11 @@ def shuffle_into_shards(
     spread = counted.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__n")
     spread = spread.withColumn("__tag", row_hash(seed, *cols, F.col("__i"))).drop("__i")
 
-    total = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.lit(64) if size is None else size).alias("b")).first()
+    total = df.agg(F.count(F.lit(1)).alias("n"), F.sum(memory_bytes(df.schema) if size is None else size).alias("b")).first()
     n = total["n"]
     buckets = max(MIN_BUCKETS, -(-n // bucket_rows), -(-int(total["b"] or 0) // bucket_bytes))
 
-    scattered = staged(spread.withColumn("__bucket", F.pmod(F.col("__tag"), F.lit(buckets)).cast("int")), "scatter", n)
+    scattered = staged(spread.withColumn("__bucket", F.pmod(F.col("__tag"), F.lit(buckets)).cast("int")), "scatter", n, texts=True)
     # One row a bucket: bounded by the input's size over the bucket's.
     sizes = sorted((r[0], r[1]) for r in scattered.groupBy("__bucket").count().collect())
     starts = np.concatenate([[0], np.cumsum([c for _, c in sizes], dtype=np.int64)])[:-1].tolist() if sizes else []
@@ -94,7 +109,7 @@ def shuffle_into_shards(
             yield fisher_yates(held)
 
     dealt = ready.select(*df.columns, "__tag", "__bucket", "__base").repartition("__bucket").sortWithinPartitions("__bucket", "__tag")
-    return few_files(dealt.mapInArrow(apply, schema), n)
+    return few_files(dealt.mapInArrow(apply, schema), n, texts=True)
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:
@@ -103,15 +118,15 @@ def write_shards(df: DataFrame, path: str, **options) -> None:
 
 
 def shard_documents(docs: DataFrame) -> DataFrame:
-    """The contract's columns for ``documents``: law ``rows``, so ``grown_shard`` is null."""
-    slim = docs.select(
+    """The contract's columns for ``documents``, from its shuffled rows: law ``rows``, so ``grown_shard`` is null."""
+    return shuffle_into_shards(docs).select(
         "doc_id",
         (utf8_bytes(F.col("text")) + 1).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
-    )
-    out = shuffle_into_shards(slim)
-    return out.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

@@ -69,6 +69,17 @@ def test_write_shards(spark, docs, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == docs.count()
 
 
+def test_sharding_moves_whole_documents(spark, docs, monkeypatch):
+    """The documents' own columns go through both passes, in buckets that their texts' bytes bound."""
+    held = []
+    monkeypatch.setattr(sharding, "staged", lambda df, *a, **k: held.append(df.persist()) or held[-1])
+    sharding.shard_documents(docs).collect()
+    assert set(docs.columns) <= set(held[0].columns)
+    sharding.shuffle_into_shards(docs, bucket_bytes=2000).collect()
+    total = docs.selectExpr("sum(octet_length(text))").first()[0]
+    assert held[1].agg({"__bucket": "max"}).first()[0] >= 0.9 * total / 2000 > sharding.MIN_BUCKETS
+
+
 def removed(rows):
     """Brute force: every window of every text, counted."""
     raw = {d: (t or "").encode() for d, t in rows}
