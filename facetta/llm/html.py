@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import few_files, table
 
 # Names of HTML elements by what they mean for the text.
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select datalist".split())
+HIDDEN = frozenset("script style noscript template svg iframe head title textarea select datalist".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript template head".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -122,6 +123,8 @@ def blocks_of(page: str) -> list[Block]:
 
     def add(text: str, decode: bool = True):
         nonlocal now
+        if stack[-1].tag == "head" and text and not text.isspace():
+            pop(len(stack) - 1)  # text ends a head that is left open
         if not text or stack[-1].hidden:
             return
         if now is None:
@@ -158,6 +161,8 @@ def blocks_of(page: str) -> list[Block]:
                 add(m[0][9:-3], decode=False)
             continue
         tag = tag.lower()
+        if stack[-1].tag == "head" and tag not in IN_HEAD and (not m[1] or tag in ("html", "body", "br")):
+            pop(len(stack) - 1)  # and so does the first element that can't be in a head
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:

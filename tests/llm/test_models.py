@@ -39,6 +39,21 @@ def test_small_pages(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>t</title><meta charset=utf-8><body><p>Kept text.</p></body></html>", "Kept text."),
+        ("<head><title>t</title><style>p{}</style><p>Kept text.</p>", "Kept text."),
+        ("<head><title>t</title>Kept text.", "Kept text."),
+        ("<head><template><p>No.</p></template></head><p>Kept text.</p>", "Kept text."),
+        ("<article><p>So <math><mi>a</mi><mo>+</mo><mi>b</mi></math> holds.</p></article>", "So a+b holds."),
+        *[(f"<article><p>Before.</p><{t}><p>Fallback text.</p></{t}></article>", "Before.\nFallback text.") for t in ("object", "canvas", "audio", "video")],
+    ],
+)
+def test_content_in_open_head_and_fallback_is_kept(page, text):
+    assert html.extract(page) == text
+
+
 def test_long_page_is_quick():
     page = "<article>" + "".join(f"<p>Paragraph number {i} with some words.</p>" for i in range(5000)) + "</article>"
     assert html.extract(page).count("\n") == 4999
