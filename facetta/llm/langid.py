@@ -27,8 +27,8 @@ BUCKET_BITS, DIM, EPOCHS, RATE = 16, 16, 4, 0.5
 NGRAMS = (2, 3, 4)
 FOLDS = 5
 UNDETERMINED = "und"
-#: Share of rightly labelled calibration documents that may be rejected; the threshold at most, and at least in even shares.
-REJECT_RIGHT, MAX_THRESHOLD, LEAST_SHARES = 0.001, 0.4, 1.3
+#: Share of rightly labelled calibration documents that may be rejected; the threshold at least, in even shares.
+REJECT_RIGHT, LEAST_SHARES = 0.001, 1.3
 SEED = 77
 _CHUNK = 1 << 20
 _WORDISH = re.compile(r"[^\W\d_]")
@@ -147,7 +147,7 @@ def calibrate(model: Model, rows: list) -> Model:
     p = softmax(z / model.temperature)
     right = p.argmax(axis=1) == y
     floor = LEAST_SHARES / len(model.langs) if len(model.langs) > 1 else 0.0
-    model.threshold = float(max(floor, min(MAX_THRESHOLD, np.quantile(p.max(axis=1)[right], REJECT_RIGHT)))) if right.any() else 0.0
+    model.threshold = float(max(floor, np.quantile(p.max(axis=1)[right], REJECT_RIGHT))) if right.any() else 0.0
     return model
 
 

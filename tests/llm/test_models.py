@@ -8,7 +8,7 @@ from common_checks import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from facetta.llm import html, quality
+from facetta.llm import html, langid, quality
 
 
 @settings(max_examples=80, deadline=None)
@@ -79,3 +79,15 @@ def test_newton_fits():
     x = rng.normal(size=(500, quality.FEATURES))
     y = (x[:, 0] - x[:, 1] > 0).astype(float)
     assert ((quality.train(x, y).logit(x) > 0) == (y > 0)).mean() > 0.97
+
+
+def test_left_out_language_is_rejected(spark):
+    """A language in the script of the learned ones, of which training sees nothing; the learned ones are kept."""
+    sf = SF.replace("sf0.001", "sf0.1")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and doc_id < 3000").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where("lang <> 'en'"))
+    held = docs.where(langid.fold_of(docs.doc_id) == 0).collect()
+    told = [(r["lang"], *model.predict(r["text"])) for r in held if langid.has_letter(r["text"])]
+    kept = [score >= model.threshold for lang, _, score in told if lang != "en"]
+    rejected = [score < model.threshold for lang, _, score in told if lang == "en"]
+    assert sum(kept) >= 0.97 * len(kept) and sum(rejected) >= 0.9 * len(rejected)
