@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from .common import few_files, table
 
-#: Documents a language gives to the training sample at most; the languages that are learned at most.
-PER_LANGUAGE, MAX_LANGUAGES = 500, 200
+#: Documents a language gives to the training sample; all languages together, though each gives LEAST_PER_LANGUAGE or all it has.
+PER_LANGUAGE, SAMPLE_ROWS, LEAST_PER_LANGUAGE = 500, 100_000, 20
 BUCKET_BITS, DIM, EPOCHS, RATE = 16, 16, 4, 0.5
 NGRAMS = (2, 3, 4)
 FOLDS = 5
@@ -158,13 +158,15 @@ def fold_of(doc_id) -> F.Column:
 def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, seed: int = SEED) -> Model:
     """Train on up to about ``per_language`` documents of each language outside fold 0, chosen by hash.
 
-    Executors turn the sample's whole texts into n-gram shares; the driver gets at most MAX_LANGUAGES * ``per_language``
-    rows of at most 2**BUCKET_BITS entries.
+    Every language that occurs is learned. Beyond SAMPLE_ROWS rows in all, each language gives fewer, but LEAST_PER_LANGUAGE.
+    Executors turn the sample's whole texts into n-gram shares; the driver gets these rows, of at most 2**BUCKET_BITS
+    entries, and holds a model of 2**BUCKET_BITS floats a language.
     """
     pool = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != 0))
-    counts = sorted(((r[1], r[0]) for r in pool.groupBy("lang").count().collect()), reverse=True)[:MAX_LANGUAGES]
+    counts = sorted(((r[1], r[0]) for r in pool.groupBy("lang").count().collect()), reverse=True)
     if not counts:
         return train([], seed)
+    per_language = min(per_language, max(LEAST_PER_LANGUAGE, SAMPLE_ROWS // len(counts)))
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000
     share = F.create_map(*[F.lit(x) for n, lang in counts for x in (lang, min(1.0, per_language / n))])
     chosen = pool.where(u < F.element_at(share, F.col("lang"))).select("text", "lang", F.xxhash64("doc_id", "text").alias("k"))
@@ -177,7 +179,8 @@ def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, seed: int = SEED)
                 names=["at", "share", "lang", "k"],
             )
 
-    got = chosen.mapInArrow(extract, "at array<int>, share array<float>, lang string, k long").limit(MAX_LANGUAGES * per_language).toArrow()
+    bound = max(SAMPLE_ROWS, 2 * per_language * len(counts))  # met only if many rows share an ID
+    got = chosen.mapInArrow(extract, "at array<int>, share array<float>, lang string, k long").limit(bound).toArrow()
     if not got.num_rows:
         return train([], seed)
     at, shares = (got.column(i).combine_chunks() for i in (0, 1))
@@ -194,7 +197,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     depends on the text alone, so repeated rows agree.
     """
     docs = docs.drop("lang_pred", "score", "accepted")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2**BUCKET_BITS rows of MAX_LANGUAGES at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BUCKET_BITS floats a language
     where = docs.columns.index(text)
 
     def apply(batches):

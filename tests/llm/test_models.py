@@ -91,3 +91,9 @@ def test_left_out_language_is_rejected(spark):
     kept = [score >= model.threshold for lang, _, score in told if lang != "en"]
     rejected = [score < model.threshold for lang, _, score in told if lang == "en"]
     assert sum(kept) >= 0.97 * len(kept) and sum(rejected) >= 0.9 * len(rejected)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(10 * k + i, f"word{k} text{k}", f"l{k}") for k in range(230) for i in range(4 if k < 15 else 8)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=1000)
+    assert set(model.langs) == {f"l{k}" for k in range(230)}
