@@ -30,15 +30,15 @@ BROADCAST_GROUPS = 50_000
 SALT = 64
 
 
-def join_grouped(df: DataFrame, groups: DataFrame, keys: dict[str, str], rows: int, spread: Column) -> DataFrame:
+def join_grouped(df: DataFrame, groups: DataFrame, keys: dict[str, str], rows: int, spread: Column, *, most: int = BROADCAST_GROUPS) -> DataFrame:
     """Left join of ``groups``, which has ``rows`` rows, one a group, to ``df``; null keys are equal to each other.
 
-    ``keys`` maps columns of ``df`` to those of ``groups``, which go. Up to BROADCAST_GROUPS rows are broadcast. More are
+    ``keys`` maps columns of ``df`` to those of ``groups``, which go. Up to ``most`` rows are broadcast. More are
     joined by shuffle, each of them SALT times, with the rows of ``df`` dealt by the hash ``spread``: no task gets a hot
     group whole.
     """
     same = [F.col(a).eqNullSafe(F.col(b)) for a, b in keys.items()]
-    if rows <= BROADCAST_GROUPS:
+    if rows <= most:
         return df.join(F.broadcast(groups), same, "left").drop(*keys.values())
     left = df.withColumn("__s1", F.pmod(spread, F.lit(SALT)).cast("int"))
     right = groups.withColumn("__s2", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))

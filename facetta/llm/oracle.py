@@ -56,9 +56,15 @@ FROM t JOIN counted c ON c.pair_id = t.pair_id
 WHERE NOT (first IS NULL OR turn < first) OR side = 'chosen'
 """
 
+def _whole(piece: str) -> str:
+    """Bytes as hex digits without the parts of characters at either end."""
+    open_ = r"^((?:..)*?)(?:[CD].|E.(?:..)?|F.(?:..){0,2})$"
+    return f"regexp_replace(regexp_replace({piece}, '^(?:[89AB].)+', ''), '{open_}', '\\1')"
+
+
 # A document's windows of 400 bytes as MD5s of their hex digits; a start counts if its window's MD5 comes twice. Starts at
 # most 400 apart are in one removed run; what lies between the runs is kept.
-OP2 = """
+OP2 = f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), w AS (
@@ -71,12 +77,19 @@ WITH d AS (
 ), runs AS (
   SELECT rid, k, min(p) AS a, max(p) + 400 AS b FROM r GROUP BY rid, k
 ), kept AS (
-  SELECT rid, string_agg(substr(h, 2 * coalesce(last, 0) + 1, 2 * (a - coalesce(last, 0))), '' ORDER BY k) AS pieces, max(b) AS tail, sum(b - a) AS n_removed, count(*) AS n_spans
-  FROM (SELECT rid, k, a, b, lag(b) OVER (PARTITION BY rid ORDER BY k) AS last FROM runs) JOIN d USING (rid) GROUP BY rid
+  SELECT rid, string_agg(piece, '' ORDER BY k) AS pieces, string_agg({_whole("piece")}, '' ORDER BY k) AS clean, max(b) AS tail, sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM (
+    SELECT rid, k, a, b, substr(h, 2 * coalesce(last, 0) + 1, 2 * (a - coalesce(last, 0))) AS piece
+    FROM (SELECT rid, k, a, b, lag(b) OVER (PARTITION BY rid ORDER BY k) AS last FROM runs) JOIN d USING (rid)
+  ) GROUP BY rid
+), e AS (
+  SELECT doc_id, h, n_removed, n_spans, coalesce(pieces, '') || substr(h, 2 * coalesce(tail, 0) + 1) AS bytes,
+         decode(unhex(coalesce(clean, '') || {_whole("substr(h, 2 * coalesce(tail, 0) + 1)")})) AS kept
+  FROM d LEFT JOIN kept USING (rid)
 )
 SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(pieces, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
-FROM d LEFT JOIN kept USING (rid)
+       sha256(unhex(bytes)) AS kept_sha256, kept, CAST(length(kept) AS BIGINT) AS n_kept
+FROM e
 """
 
 #: Rounds in which excess is shared again: enough for as many sources.

@@ -98,7 +98,7 @@ def removed(rows):
 
 
 def suffix_result(frame):
-    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in frame.collect()}
+    return {r["doc_id"]: (r["n_bytes"], sum(x["end"] - x["begin"] for x in r["removed"]), len(r["removed"]), r["kept_sha256"]) for r in frame.collect()}
 
 
 def test_suffix_dedup(spark, docs, texts):
@@ -117,20 +117,29 @@ def test_suffix_dedup_of_borders(spark):
     assert suffix_result(suffixes.remove_repeats(frame)) == removed(rows)
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.text("ab", min_size=1, max_size=12), min_size=1, max_size=6))
-def test_merged_order_sorts_suffixes(strings):
-    """With the true ranks of the sampled suffixes, the merge gives the order of all."""
-    sym = [[ord(c) - 96 for c in s] for s in strings]
-    rows = [(i, j) for i, s in enumerate(sym) for j in range(len(s))]
-    tail = {(i, j): tuple(sym[i][j:]) for i, j in rows}
-    ranks = {t: k + 1 for k, t in enumerate(sorted({tail[x] for x in rows if x[1] % 3}))}
-    at = lambda i, j: ranks[tail[i, j]] if j < len(sym[i]) and j % 3 else 0
-    get = lambda i, j: sym[i][j] if j < len(sym[i]) else 0
-    cols = zip(*[(j, get(i, j), get(i, j + 1), at(i, j), at(i, j + 1), at(i, j + 2)) for i, j in rows])
-    order, _ = suffixes.merged_order(*[np.array(c) for c in cols])
-    got = [tail[rows[k]] for k in order]
-    assert got == sorted(got)
+def test_suffix_dedup_gives_what_is_left(spark):
+    shared = "".join(np.random.default_rng(8).choice(list("xyzü é"), 700))
+    rows = [(1, "é" + shared + "è tail one"), (2, "ä" + shared + "é tail two"), (3, "nothing shared")]
+    got = {r["doc_id"]: r for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        raw, at, whole = text.encode(), 0, ""
+        for run in [*got[d]["removed"], None]:
+            whole += raw[at : run["begin"] if run else None].decode("utf-8", "ignore")
+            at = run["end"] if run else 0
+        assert got[d]["kept"] == whole and "\ufffd" not in whole
+    assert got[1]["kept"].startswith("é") and got[1]["kept"].endswith(" tail one") and got[3]["kept"] == "nothing shared"
+
+
+def test_suffixes_of_all_strings_in_order(spark):
+    """Sorted triples, recursion and the merge against plain sorting, with runs of one symbol and equal strings."""
+    rng = np.random.default_rng(3)
+    sym = [[int(x) for x in rng.integers(1, 3, rng.integers(1, 14))] for _ in range(60)] + [[1] * 40, [1] * 38, [2, 1] * 15, [1], [2]]
+    frame = spark.createDataFrame(list(enumerate(sym)), "sid long, syms array<long>")
+    got = suffixes.all_ranks(frame, 10_000).collect()
+    order = sorted((rank, tuple(sym[r["sid"]][j:])) for r in got for j, rank in enumerate(r["ranks"]))
+    assert len({r for r, _ in order}) == sum(map(len, sym))
+    tails = [t for _, t in order]
+    assert tails == sorted(tails)
 
 
 def test_fingerprints(spark, docs, texts):
