@@ -74,8 +74,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     columns are ignored.
     """
     slim = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    wins = staged(windows(items.select("item_id", "text")), "windows", 0)
-    known = staged(rarest_words(slim, wins).where("n > 0"), "rarest", 0)  # a word in no document: a window in no document
+    wins = staged(windows(items.select("item_id", "text")), "windows", few=True)
+    known = staged(rarest_words(slim, wins).where("n > 0"), "rarest", few=True)  # a word in no document: a window in no document
     n = known.count()
     blocks = max(1, -(-n // BLOCK_WINDOWS))
     parts = []

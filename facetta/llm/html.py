@@ -9,7 +9,8 @@ stronger the nearer they are in the tree. The minimum cut, found by max-flow, is
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -42,25 +43,28 @@ BAD_NAMES = frozenset(
     "comment comments commentlist disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs pagination pager "
     "toolbar widget widgets copyright legal disclaimer tags search form skip".split()
 )
+#: What an article itself has no use for; other bad names inside an article weigh little against its text.
 FOREIGN_NAMES = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo promoted related recommended".split())
 GOOD_NAMES = frozenset("article content post entry story body text main".split())
+QUOTE_NAMES = frozenset("quote quotation blockquote pullquote".split())
 
 # The classifier: log-odds that a block is boilerplate.
-BAD_WEIGHT, GOOD_WEIGHT, HEADER_WEIGHT, LINK_WEIGHT = 6.0, -3.0, 4.0, 3.0
+BAD_WEIGHT, INNER_WEIGHT, GOOD_WEIGHT, HEADER_WEIGHT, LINK_WEIGHT = 6.0, 2.0, -3.0, 4.0, 3.0
 HEADING_WEIGHT, LENGTH_WEIGHT, BASE_WEIGHT = -0.5, -0.5, 0.0
 # Edges: strength between neighbours and between siblings, over 1 + their distance in the tree.
 NEXT_WEIGHT, SIBLING_WEIGHT = 1.0, 0.8
 UNIT = 1000  # capacities are whole thousandths
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|>|->)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.S
-)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_COMMENT_END = re.compile(r"--!?>")
+_STOP = re.compile(r"[>=]")
+_FILLED = re.compile(r"\S")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
     parent: Element | None
@@ -68,12 +72,13 @@ class Element:
     log_odds: float  # the classifier's sum from here up to the root
     hidden: bool
     inside: bool  # of an article or main element
+    block: Element | None = None  # the nearest block element, itself if it is one
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     parent: Element
-    text: list[str] = field(default_factory=list)
+    text: list[str] | str = field(default_factory=list)
     linked: int = 0
 
 
@@ -93,22 +98,85 @@ def _element(tag: str, attrs: str, up: Element | None) -> Element:
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
                 hidden = True
     bad = names & (FOREIGN_NAMES if tag in ("article", "main", "h1") else BAD_NAMES) if tag not in ("html", "body") else set()
-    if bad == {"header"} and names & GOOD_NAMES:
-        bad = set()  # the head of the article
-    if tag in BAD_TAGS or role in BAD_ROLES or bad:
+    if (bad == {"header"} and names & GOOD_NAMES) or (inside and names & QUOTE_NAMES):
+        bad = set()  # the head of the article, or what it quotes
+    if tag in BAD_TAGS or role in BAD_ROLES or (bad and not inside) or bad & FOREIGN_NAMES:
         odds += BAD_WEIGHT
+    elif bad:
+        odds += INNER_WEIGHT
     elif tag == "header" and not inside:
         odds += HEADER_WEIGHT
     elif tag in GOOD_TAGS or role in GOOD_TAGS:
         odds, inside = odds + (0 if inside else GOOD_WEIGHT), True
     elif names & GOOD_NAMES:
         odds += GOOD_WEIGHT / 2
-    return Element(tag, up, up.depth + 1 if up else 0, odds, hidden, inside)
+    own = Element(tag, up, up.depth + 1 if up else 0, odds, hidden, inside)
+    own.block = own if tag in BLOCK or up is None else up.block
+    return own
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """Kind (text, raw, open, close), name or text, attributes, and where the token ends; in time proportional to the page.
+
+    Comments, declarations and processing instructions are left out. A comment, declaration or tag that nothing ends runs
+    to the end of the page; a quote that nothing ends is no quote. ``send`` a place to go on from there.
+    """
+    n, at = len(page), 0
+    last = {q: page.rfind(q) for q in "\"'>"}
+    last_cdata = page.rfind("]]>")
+    text = 0  # where the text before a tag begins
+
+    def end_of_tag(k: int) -> int:
+        while (m := _STOP.search(page, k)) is not None:
+            k = m.end()
+            if m[0] == ">":
+                return k
+            value = _FILLED.search(page, k)
+            if value is not None and value[0] in "\"'" and last[value[0]] > value.start():
+                k = page.find(value[0], value.end()) + 1
+            elif value is not None:
+                k = value.start() if value[0] == ">" else value.end()
+        return -1
+
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at + 1 >= n:
+            break
+        begin, c = at, page[at + 1]
+        token = None
+        if c == "!" or c == "?":
+            if page.startswith("<!--", at):
+                m = _COMMENT_END.search(page, at + 2)
+                end = m.end() if m else -1
+            elif page.startswith("<![CDATA[", at) and last_cdata >= at + 9:
+                end = page.find("]]>", at + 9) + 3
+                token = ("raw", page[at + 9 : end - 3], "")
+            else:
+                end = page.find(">", at) + 1 if last[">"] > at else -1
+        elif (m := _OPEN.match(page, at)) is not None:
+            end = end_of_tag(m.end())
+            token = ("close" if m[1] else "open", m[2].lower(), page[m.end() : end - 1])
+        else:
+            at += 1
+            continue
+        if begin > text:
+            yield "text", page[text:begin], "", begin
+        if end < 0:
+            return
+        at = text = end
+        if token:
+            skipped = yield *token, end
+            if skipped is not None:
+                yield "skipped", "", "", skipped
+                at = text = skipped
+    if text < n:
+        yield "text", page[text:], "", n
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty blocks, in order: runs of text that no block element's tag interrupts."""
     stack = [_element("html", "", None)]
+    opened: Counter = Counter()  # names of the open elements but the root
     out: list[Block] = []
     now: Block | None = None
     links = 0
@@ -130,8 +198,7 @@ def blocks_of(page: str) -> list[Block]:
         if now is None:
             if text.isspace():
                 return
-            parent = next(e for e in reversed(stack) if e.tag in BLOCK)
-            now = Block(parent)
+            now = Block(stack[-1].block)
         text = unescape(text) if decode and "&" in text else text
         now.text.append(text)
         if links:
@@ -141,65 +208,54 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links
         while len(stack) > k:
             e = stack.pop()
+            opened[e.tag] -= 1
             links -= e.tag == "a"
             if e.tag in BLOCK:
                 end_block()
 
-    at = 0
-    while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = re.search(r"<!--|<[a-zA-Z/!?]", rest)  # a tag or comment that nothing ends
-            add(rest[: cut.start()] if cut else rest)
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3], decode=False)
+    def close_nearest(tags, scopes):
+        """Close the nearest open element of ``tags``, if none of ``scopes`` comes before it."""
+        if any(opened[t] > 0 for t in tags):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in tags:
+                    return pop(k)
+                if stack[k].tag in scopes:
+                    return None
+        return None
+
+    stream = tokens(page)
+    for kind, tag, attrs, at in stream:
+        if kind in ("text", "raw"):
+            add(tag, kind == "text")
             continue
-        tag = tag.lower()
-        if stack[-1].tag == "head" and tag not in IN_HEAD and (not m[1] or tag in ("html", "body", "br")):
+        if kind == "skipped":
+            continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD and (kind == "open" or tag in ("html", "body", "br")):
             pop(len(stack) - 1)  # and so does the first element that can't be in a head
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    pop(k)
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK:
-                    break  # an inline element's end doesn't close blocks
+        if kind == "close":
+            close_nearest((tag,), () if tag in BLOCK else BLOCK)  # an inline element's end doesn't close blocks
             continue
         if tag == "br":
             add(" ")
             continue
-        if tag in ("html", "body") and len(stack) > 1 and any(e.tag == tag for e in stack[1:]):
+        if tag in ("html", "body") and opened[tag] > 0:
             continue
         if tag in P_CLOSERS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    pop(k)
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+            close_nearest(("p",), BLOCK)
         if tag in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in SIBLINGS[tag]:
-                    pop(k)
-                    break
-                if stack[k].tag in SCOPES:
-                    break
+            close_nearest(SIBLINGS[tag], SCOPES)
         if tag in BLOCK:
             end_block()
         if tag in VOID:
             continue
-        own = _element(tag, m[3] or "", stack[-1])
+        own = _element(tag, attrs, stack[-1])
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            end = page.find(">", close.end()) if close else -1
+            stream.send(end + 1 if end >= 0 else len(page))
             continue
         stack.append(own)
+        opened[tag] += 1
         links += tag == "a"
     pop(0)
     end_block()
@@ -306,17 +362,12 @@ def min_cut(costs: list[tuple[int, int]], edges: list[tuple[int, int, int]]) ->
     return [not reach[i] for i in range(n)]
 
 
-def extract(page: str | None) -> str:
-    """The main text of a page, a line for each block; empty for null and for pages without content."""
-    blocks = blocks_of(page or "")
-    if not blocks:
-        return ""
-    costs = []
-    for b in blocks:
+def graph(blocks: list[Block]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """What each block costs as content and as boilerplate, and what labelling two blocks differently costs."""
+    costs, edges, last = [], [], {}
+    for i, b in enumerate(blocks):
         x = int(round(UNIT * log_odds(b)))
         costs.append((max(0, x), max(0, -x)))
-    edges, last = [], {}
-    for i, b in enumerate(blocks):
         if i:
             edges.append((i - 1, i, int(UNIT * NEXT_WEIGHT / (1 + tree_distance(blocks[i - 1].parent, b.parent)))))
         parent = id(b.parent.parent)
@@ -324,14 +375,20 @@ def extract(page: str | None) -> str:
         if j is not None and j != i - 1:
             edges.append((j, i, int(UNIT * SIBLING_WEIGHT / (1 + tree_distance(blocks[j].parent, b.parent)))))
         last[parent] = i
-    return "\n".join(b.text for b, keep in zip(blocks, min_cut(costs, [e for e in edges if e[2]])) if keep)
+    return costs, [e for e in edges if e[2]]
+
+
+def extract(page: str | None) -> str:
+    """The main text of a page, a line for each block; empty for null and for pages without content."""
+    blocks = blocks_of(page or "")
+    return "\n".join(b.text for b, keep in zip(blocks, min_cut(*graph(blocks))) if keep)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` for every row of ``pages``.
 
     A null or empty html gives an empty text; other nulls and repeated rows come back as given; other columns are ignored;
-    an empty table gives an empty result.
+    an empty table gives an empty result. A comment or tag that nothing ends runs to the end of the page, however long.
     """
 
     def apply(batches):

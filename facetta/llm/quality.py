@@ -160,13 +160,13 @@ def quality(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: s
 
     e = F.col("evidence")
     sums = [F.count(F.lit(1)).alias("n"), F.sum(e).alias("s"), F.sum(e * e).alias("q")]
-    paths = staged(scored.groupBy("host", "path").agg(*sums), "paths", 0)
+    paths = staged(scored.groupBy("host", "path").agg(*sums), "paths", few=True)
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in "nsq"])
     total = hosts.agg(F.sum("n"), F.sum("s")).first()
     prior = total[1] / total[0] if total[0] else 0.5
     hosts = hosts.withColumn("up", F.lit(prior))
     k = strength(hosts, "up")
-    hosts = staged(hosts.select(F.col("host").alias("h"), ((F.col("s") + k * prior) / (F.col("n") + k)).alias("host_quality")), "hosts", 0)
+    hosts = staged(hosts.select(F.col("host").alias("h"), ((F.col("s") + k * prior) / (F.col("n") + k)).alias("host_quality")), "hosts", few=True)
     n_hosts, n_paths = hosts.count(), paths.count()
     above = join_grouped(paths, hosts, {"host": "h"}, n_hosts, F.xxhash64("path"))
     k = strength(above, "host_quality")

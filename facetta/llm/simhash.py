@@ -253,9 +253,9 @@ def components(links: DataFrame) -> DataFrame:
             out = down.join(least, "u").select(F.col("m").alias("u"), "v").union(least.select(F.col("m").alias("u"), F.col("u").alias("v")))
         return out.where("u < v").distinct()
 
-    now, mark = staged(links.where("u < v").distinct(), "links", 0), None
+    now, mark = staged(links.where("u < v").distinct(), "links", few=True), None
     while True:
-        new = staged(star(star(now, True), False), "stars", 0)
+        new = staged(star(star(now, True), False), "stars", few=True)
         unstage(now)
         now = new
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
