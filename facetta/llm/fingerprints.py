@@ -3,7 +3,8 @@
 A text is a set of pieces: its paragraphs, cut at sentence ends, each with its place among equal pieces. The fingerprint
 is a sketch of fixed size: CELLS cells that hold the count and the xor of the digests, which carry their own checks. Two
 sketches subtract cell by cell; equal pieces cancel, and peeling cells that hold one digest recovers those in which the
-versions differ. If peeling gets stuck, both versions are sketched again, four times larger.
+versions differ. If peeling gets stuck, both versions are sketched again, four times larger; an estimate of the difference
+from the least digests of both tells which size to begin with.
 """
 
 from __future__ import annotations
@@ -11,19 +12,25 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from collections import Counter
+from heapq import nsmallest
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..work import input_bytes
 from .common import few_files, table
 
 HASHES, CELLS, GROWTH = 3, 24, 4
 #: Sizes tried before the digests themselves are compared.
 TRIES = 12
 PIECE_CHARS = 240
-BUCKETS_PER_PARTITION = 4
+#: Ranges of doc_id: so many a shuffle partition at least, and of so many input bytes at most.
+BUCKETS_PER_PARTITION, BUCKET_BYTES = 4, 8 << 20
+#: Least digests from which a difference is estimated, and cells a digest that differs takes.
+LEAST, LOAD = 32, 1.5
 _MASK = (1 << 64) - 1
 _CHECK, _SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _PIECE = re.compile(r"[^\n.!?|]*[\n.!?|]+|[^\n.!?|]+")
@@ -114,6 +121,7 @@ class Version:
 
     def __init__(self, text: str):
         self.keys = digests(text)
+        self.least = set(nsmallest(LEAST, self.keys))
         self.sketches: dict[int, Sketch] = {}
 
     def sketch(self, size: int = CELLS) -> Sketch:
@@ -122,9 +130,18 @@ class Version:
         return self.sketches[size]
 
 
+def expected_difference(a: Version, b: Version) -> float:
+    """How many digests differ, from the share that the least of both have in common."""
+    both = nsmallest(LEAST, a.least | b.least)
+    alike = sum(k in a.least and k in b.least for k in both) / max(1, len(both))
+    return (len(a.keys) + len(b.keys)) * (1 - alike) / (1 + alike)
+
+
 def differing(a: Version, b: Version) -> tuple[set[int], set[int]]:
     """Digests of only ``a`` and of only ``b``, by subtraction and peeling; larger sketches after each failure."""
-    size = CELLS
+    size, need = CELLS, LOAD * expected_difference(a, b)
+    while size < need:
+        size *= GROWTH
     for _ in range(TRIES):
         found = a.sketch(size).minus(b.sketch(size)).peel()
         if found is not None:
@@ -150,15 +167,16 @@ def _numbers(values: list) -> Column:
     return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast("array<bigint>")
 
 
-def _rank(key: Column, marks: list[int]) -> Column:
-    """How many of the sorted ``marks`` are at most ``key``, by binary search in a constant array."""
+def _rank(key: Column, marks: list[tuple[int, int]]) -> Column:
+    """How many of the sorted ``marks`` are at most ``key``, by binary search in two constant arrays."""
     if not marks:
         return F.lit(0)
-    array = _numbers(marks)
+    ids, hashes = (_numbers(list(v)) for v in zip(*marks))
 
     def halve(a: Column, _: Column) -> Column:
         mid = F.floor((a.lo + a.hi) / 2).cast("int")
-        right = F.get(array, mid) <= key
+        at = F.get(ids, mid)
+        right = (at < key["id"]) | ((at == key["id"]) & (F.get(hashes, mid) <= key["h"]))
         lo = F.when((a.lo < a.hi) & right, mid + 1).otherwise(a.lo)
         hi = F.when((a.lo < a.hi) & ~right, mid).otherwise(a.hi)
         return F.struct(lo.alias("lo"), hi.alias("hi"))
@@ -167,6 +185,22 @@ def _rank(key: Column, marks: list[int]) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(marks)).alias("hi")), halve).lo
 
 
+def _range_starts(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Sorted (id, hash) keys at which about ``parts`` ranges of as many rows begin. An id that is several quantiles of all
+    ids is cut by quantiles of its rows' hashes."""
+    quantiles = rows.select(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    least = -(1 << 63)
+    found = {(q, least) for q in quantiles}
+    hot = [(q, n) for q, n in Counter(quantiles).items() if n > 1]  # parts at most
+    if hot:
+        own = rows.where(F.col("id").isin([q for q, _ in hot])).groupBy("id")
+        cuts = own.agg(F.percentile_approx("h", [i / parts for i in range(1, parts)], 10_000).alias("h")).collect()
+        for q, hs in ((r["id"], r["h"]) for r in cuts):
+            n = dict(hot)[q] + 1
+            found |= {(q, hs[i * len(hs) // n]) for i in range(n)}
+    return sorted(found)
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """The contract's columns for ``documents``.
 
@@ -174,31 +208,32 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     doc_ids in order of the text's hash; the last is followed by the first. One document alone is followed by itself.
     An empty table gives an empty result.
 
-    Rows are dealt into ranges of doc_id; the first of each range is also sent to the range before, so each partition
-    reads its rows in order and holds two texts at a time.
+    Rows are dealt into ranges of (doc_id, hash of the text); the first of each range is also sent to the range before, so
+    each partition reads its rows in order and holds two texts at a time. A doc_id, or null, that fills several ranges is
+    cut by the hash.
     """
     spark = docs.sparkSession
     rows = docs.select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("key")
-    )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
-    marks = rows.select(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    marks = sorted(set(marks))
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("h")
+    ).withColumn("key", F.struct("id", "h"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION, input_bytes(docs) // BUCKET_BYTES)
+    marks = _range_starts(rows, parts)
     bucket = _rank(F.col("key"), marks)
     # One row a bucket; the number of buckets is fixed by the number of partitions.
-    heads = sorted((r[0], r[1]) for r in rows.groupBy(bucket.alias("b")).agg(F.min("key").alias("k")).collect())
-    first, before = [None] * (len(marks) + 1), [None] * (len(marks) + 1)
+    heads = sorted((r[0], tuple(r[1])) for r in rows.groupBy(bucket.alias("b")).agg(F.min("key").alias("k")).collect())
+    first, before = [(None, None)] * (len(marks) + 1), [None] * (len(marks) + 1)
     for i, (b, k) in enumerate(heads):
         first[b], before[b] = k, heads[i - 1][0]
-    again = F.get(_numbers(first), bucket) == F.col("key")  # the head of a bucket also goes to the one before
+    # The head of a bucket also goes to the one before.
+    again = (F.get(_numbers([k[0] for k in first]), bucket) == F.col("id")) & (F.get(_numbers([k[1] for k in first]), bucket) == F.col("h"))
     own = F.struct(bucket.alias("b"), F.lit(0).alias("late"))
     late = F.struct(F.get(_numbers(before), bucket).cast("int").alias("b"), F.lit(1).alias("late"))
     copies = F.when(again, F.array(own, late)).otherwise(F.array(own))
     dealt = (
         rows.withColumn("__to", F.explode(copies))
-        .select(F.col("__to.b").alias("b"), F.col("__to.late").alias("late"), "key", "doc_id", "text")
+        .select(F.col("__to.b").alias("b"), F.col("__to.late").alias("late"), "id", "h", "doc_id", "text")
         .repartition("b")
-        .sortWithinPartitions("b", "late", "key", F.xxhash64("text"))
+        .sortWithinPartitions("b", "late", "id", "h")
     )
     hexed = lambda v: f"{len(v.keys):08x}{v.sketch()}"
 
@@ -213,7 +248,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     def apply(batches):
         held, out = None, []
         for batch in batches:
-            for b, late, doc_id, text in zip(*(batch.column(i) for i in (0, 1, 3, 4))):
+            for b, late, doc_id, text in zip(*(batch.column(i) for i in (0, 1, 4, 5))):
                 b, late, text = b.as_py(), late.as_py(), text.as_py()
                 same = held is not None and held[0] == b
                 if late and not same:
