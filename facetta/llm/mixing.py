@@ -3,7 +3,8 @@
 Every document gets a hash. Sizes are summed by source and hash bucket; a source whose target is f times its size takes
 every document floor(f) times, and once more the documents whose hash is below a threshold. The histogram tells the
 bucket in which the threshold lies, and only that bucket is cut into finer ones, until it can't be cut further. Nothing
-is sorted, and a document's fate depends only on its hash and its source's threshold.
+is sorted, and a document's fate depends only on its hash and its source's threshold. Of repeated rows each has a hash of
+its own, so a threshold can part them too.
 """
 
 from __future__ import annotations
@@ -29,6 +30,20 @@ def document_hash(seed: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def occurrence_hash(i: Column) -> Column:
+    """The hash of the ``i``-th of repeated rows (from 1): the first has the document's own."""
+    later = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("__hash").cast("string"), i.cast("string")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+    return F.when(i == 1, F.col("__hash")).otherwise(later)
+
+
+def each_occurrence(df: DataFrame) -> DataFrame:
+    """``df`` with ``__hash`` of each occurrence instead of each document. Rows are counted first, so repeated ones never
+    meet in one task but as their number."""
+    counted = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    each = counted.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    return each.withColumn("__hash", occurrence_hash(F.col("__i"))).drop("__n", "__i")
+
+
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+``; 0 for null."""
     plain = F.translate(text, "\t\n\x0b\x0c\r", "     ")
@@ -107,36 +122,53 @@ def thresholds(hashed: DataFrame, *, weights=WEIGHTS, share: float = SHARE) -> t
     return spark.createDataFrame(rows, "source string, source_size long, target double, __base int, __low decimal(20,0)"), len(rows)
 
 
+def repeats() -> Column:
+    more = (F.col("__hash") < F.col("__low")).cast("int")
+    return F.when(F.col("__base") >= MAX_REPEATS, F.lit(MAX_REPEATS)).otherwise(F.col("__base") + more)
+
+
+def sized(df: DataFrame, seed: int) -> DataFrame:
+    """A short row for every row of ``df``: ``doc_id``, ``source``, ``size`` and ``__hash``, written down."""
+    own = df.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), document_hash(seed).alias("__hash"))
+    # Hashed where the texts are read, counted behind the shuffle of short rows.
+    return staged(each_occurrence(own), "mix", few=True)
+
+
 def mix(df: DataFrame, *, seed: int = SEED, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
-    """``df`` (``doc_id``, ``text``, ``source`` and others) with ``size``, ``source_size``, ``target`` and ``repeats`` (0 to 2).
+    """``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``repeats`` (0 to 2) for every row of ``df``.
 
-    A null source is a source of its own, the last one; a null text has size 0. Equal rows (doc_id, source, text) have
-    equal hashes and so one fate: a source made mostly of copies of one row misses its target by up to their total. Empty
-    input gives an empty result; a source of size 0 has target 0. Input columns named like the new ones are replaced.
+    ``df`` has ``doc_id``, ``text`` and ``source``; other columns are ignored. A null source is a source of its own, the
+    last one; a null text has size 0. Equal rows (doc_id, source, text) have a hash each. Empty input gives an empty
+    result; a source of size 0 has target 0.
     """
-    df = df.drop("size", "source_size", "target", "repeats").withColumns({
-        "size": word_count(F.col("text")),
-        "__hash": document_hash(seed),
-    })
-    rows = df.count()
-    hashed = staged(df.select(F.col("source").cast("string").alias("source"), "size", "__hash"), "mix", rows, texts=True)
+    hashed = sized(df, seed)
     plan, n = thresholds(hashed, weights=weights, share=share)
-    more = (F.col("__hash") < F.col("__low")).cast("int")
-    repeats = F.when(F.col("__base") >= MAX_REPEATS, F.lit(MAX_REPEATS)).otherwise(F.col("__base") + more)
-    return with_source_table(df, plan, n).withColumn("repeats", repeats).drop("__hash", "__base", "__low")
+    return with_source_table(hashed, plan, n).withColumn("repeats", repeats()).drop("__hash", "__base", "__low")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The contract's columns for ``documents``."""
-    mixed = mix(docs.select("doc_id", "text", "source"))
-    out = mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
-    return few_files(out, docs.count(), texts=True)
+    out = mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+    return few_files(out, docs.count())
 
 
-def keep_mixed(docs: DataFrame) -> DataFrame:
-    """``documents`` with each row as often as the mix takes it; no row is shuffled."""
-    mixed = mix(docs).where("repeats > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-    return few_files(mixed.select(*[F.col(f"`{c}`") for c in docs.columns]), docs.count(), texts=True)
+def keep_mixed(docs: DataFrame, *, seed: int = SEED, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, all columns kept. Rows are shuffled only if they are repeated.
+
+    Rows alike in doc_id, source and text that differ in other columns share a hash for each occurrence.
+    """
+    hashed = sized(docs, seed)
+    plan, n = thresholds(hashed, weights=weights, share=share)
+    own = docs.withColumn("__hash", document_hash(seed))
+    many = staged(docs.select(document_hash(seed).alias("__h")).groupBy("__h").count().where("count > 1").select("__h", F.lit(True).alias("__many")), "repeated", few=True)
+    n_many = many.count()
+    if n_many:
+        met = join_grouped(own, many, {"__hash": "__h"}, n_many, F.xxhash64("doc_id", "text"))
+        names = [F.col(f"`{c}`") for c in own.columns]
+        own = met.where("__many is null").select(*names).unionByName(each_occurrence(met.where("__many").select(*names)))
+    taken = with_source_table(own, plan.select("source", "__base", "__low"), n)
+    copies = taken.withColumn("__copy", repeats()).where("__copy > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copy"))))
+    return few_files(copies.select(*[F.col(f"`{c}`") for c in docs.columns]), docs.count(), texts=True)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
