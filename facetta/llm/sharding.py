@@ -5,7 +5,7 @@ shuffles each bucket with Fisher-Yates. The buckets, one after the other, then a
 records, and shard k is the k-th of equally long stretches of it: a bucket's task can write its records straight into at
 most a few shards, without another exchange.
 
-Repeated rows are counted first and scattered by (row, occurrence), so no bucket grows with the copies of one record.
+Repeated rows are counted and scattered by (row, occurrence), so no bucket grows with the copies of one record.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few_files, row_hash, staged, table, utf8_bytes
+from .common import few_files, join_grouped, row_hash, staged, table, utf8_bytes
 
 SEED = 20_240
 #: Records that one Fisher-Yates task holds in memory; with ``bucket_bytes`` the size of a bucket.
@@ -62,9 +62,18 @@ def shuffle_into_shards(
         raise ValueError(f"shards must be >= 1, got {shards}")
     df = df.drop("shard", "slot")
     cols = [F.col(f"`{c}`") for c in df.columns]
-    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
-    spread = counted.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__n")
-    spread = spread.withColumn("__tag", row_hash(seed, *cols, F.col("__i"))).drop("__i")
+    # Rows whose hash comes again, and only they, are counted as a whole; no other row is shuffled before the scatter.
+    own = df.withColumn("__row", row_hash(seed, *cols))
+    many = staged(df.select(row_hash(seed, *cols).alias("__h")).groupBy("__h").count().where("count > 1").select("__h", F.lit(True).alias("__many")), "repeated", few=True)
+    n_many = many.count()
+    spread = own.withColumn("__tag", F.col("__row"))
+    if n_many:
+        met = join_grouped(own, many, {"__row": "__h"}, n_many, row_hash(seed + 1, *cols[:1]))
+        counted = met.where("__many").groupBy("__row", *cols).agg(F.count(F.lit(1)).alias("__n"))
+        each = counted.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+        each = each.withColumn("__tag", row_hash(seed, F.col("__row"), F.col("__i"))).select(*cols, "__tag")
+        spread = met.where("__many is null").withColumn("__tag", F.col("__row")).select(*cols, "__tag").unionByName(each)
+    spread = spread.select(*cols, "__tag")
 
     total = df.agg(F.count(F.lit(1)).alias("n"), F.sum(memory_bytes(df.schema) if size is None else size).alias("b")).first()
     n = total["n"]
@@ -113,7 +122,11 @@ def shuffle_into_shards(
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:
-    """Shuffle whole records and write them as Parquet, a folder for each shard."""
+    """Shuffle whole records and write them as Parquet, a folder for each shard.
+
+    Nulls, repeated rows, empty tables and memory are as in ``shuffle_into_shards``, whose ``options`` it takes; a task
+    holds one bucket, and an empty table gives no folders.
+    """
     shuffle_into_shards(df, **options).write.partitionBy("shard").parquet(path)
 
 
