@@ -21,13 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_files, staged, table, unstage
+from .common import few_files, join_grouped, staged, table, unstage
 
 BITS = 64
 SHINGLE, SEED, TAU = 4, 42, 4
 #: Cost of a verified candidate against a probe row.
 CANDIDATE_COST = 0.02
 PARTS = (2, 3, 4, 5)
+#: Rows of a bucket beyond which its fingerprints are probed once more, by SPLIT_PARTS parts of the bits outside its own.
+SPLIT_ROWS = 20_000
 #: Buckets up to this size are compared pair by pair with their neighbours in sort order, larger ones by search.
 SMALL_BUCKET = 48
 NO_ID = (1 << 63) - 1
@@ -104,13 +106,36 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
 
 
 def distance_odds(part: list[int], n: int, both: np.ndarray) -> np.ndarray:
-    """Odds that two fingerprints differ in 0, 1, 2, ... of a part's bits."""
-    odds = np.array([1.0])
-    for b in part:
-        p = both[b, b] / max(1, n)
-        d = 2 * p * (1 - p)
-        odds = np.convolve(odds, [1 - d, d])
-    return odds
+    """Odds that two fingerprints differ in 0, 1, 2, ... of a part's bits.
+
+    The bits of a part correlate, so they are taken as a chain in which each is followed by the one most correlated with
+    it: whether two fingerprints differ in a bit depends on whether they differ in the one before, as the joint counts of
+    both bits tell.
+    """
+    p = np.diag(both) / max(1, n)
+
+    def differ(b: int, c: int) -> np.ndarray:
+        """Odds of two fingerprints to differ (1) or not (0) in ``b`` and in ``c``."""
+        joint = np.array([[n - both[b, b] - both[c, c] + both[b, c], both[c, c] - both[b, c]], [both[b, b] - both[b, c], both[b, c]]], float) / max(1, n)
+        out = np.zeros((2, 2))
+        for x, y in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            out[x, y] = sum(joint[u, v] * joint[u ^ x, v ^ y] for u in (0, 1) for v in (0, 1))
+        return out
+
+    cov = np.abs(both / max(1, n) - np.outer(p, p))
+    order, left = [part[0]], list(part[1:])
+    while left:
+        order.append(max(left, key=lambda b: cov[b, order[-1]]))
+        left.remove(order[-1])
+    first = 2 * p[order[0]] * (1 - p[order[0]])
+    odds = np.zeros((2, len(part) + 1))  # by whether the last bit differs and by how many do
+    odds[0, 0], odds[1, 1] = 1 - first, first
+    for b, c in zip(order, order[1:]):
+        step = differ(b, c)
+        step = step / np.maximum(step.sum(axis=1, keepdims=True), 1e-300)
+        stay, move = odds[0] * step[0, 0] + odds[1] * step[1, 0], odds[0] * step[0, 1] + odds[1] * step[1, 1]
+        odds[0], odds[1] = stay, np.append(0, move[:-1])
+    return odds.sum(axis=0)
 
 
 def probe_cost(part: list[int], t: int, n: int, both: np.ndarray) -> float:
@@ -173,6 +198,35 @@ def probes(nodes: DataFrame, parts: list[list[int]], ts: list[int]) -> DataFrame
     return nodes.select("fp").mapInArrow(apply, "key long, fp long")
 
 
+def split_hot(rows: DataFrame, parts: list[list[int]], tau: int) -> DataFrame:
+    """``key``, ``fp`` rows in which no bucket holds many fingerprints that have only its own part in common.
+
+    Two linked ones differ in ``tau`` of the other bits at most; of ``tau`` + 1 parts of these one is equal in both. So a
+    bucket of over SPLIT_ROWS rows becomes the buckets of those parts' values, and no link is lost.
+    """
+    hot = rows.groupBy("key").count().where(F.col("count") > SPLIT_ROWS).select("key", F.lit(True).alias("hot"))
+    hot = staged(hot, "hot", few=True)  # rows / SPLIT_ROWS at most
+    n = hot.count()
+    if not n:
+        return rows
+    met = join_grouped(rows, hot.withColumnRenamed("key", "k"), {"key": "k"}, n, F.col("fp"))
+    others = [[b for b in range(BITS) if b not in part] for part in parts]
+    finer = [[rest[len(rest) * i // (tau + 1) : len(rest) * (i + 1) // (tau + 1)] for i in range(tau + 1)] for rest in others]
+
+    def apply(batches):
+        for batch in batches:
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            own = key.view(np.uint64) % np.uint64(len(parts))  # the part that the key is a value of
+            for i, pieces in enumerate(finer):
+                at = np.flatnonzero(own == i)
+                for k, piece in enumerate(pieces):
+                    value = _extract(fp[at], piece) * np.uint64(tau + 1) + np.uint64(k)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(value.view(np.int64)), pa.array(fp[at].view(np.int64))], names=["key", "v", "fp"])
+
+    again = met.where("hot").select("key", "fp").mapInArrow(apply, "key long, v long, fp long").select(F.xxhash64("key", "v").alias("key"), "fp")
+    return met.where("hot is null").select("key", "fp").unionByName(again)
+
+
 def _forest(fp: np.ndarray, tau: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of all links in one bucket: breadth first, each step compares one node to the unseen."""
     left, links = np.arange(len(fp)), []
@@ -278,7 +332,9 @@ def near_duplicates(docs: DataFrame, *, tau: int = TAU) -> DataFrame:
     n, both = bit_statistics(nodes)
     merged = nodes.withColumn("component", F.col("fp"))
     if n > 1:
-        found = components(verified_links(probes(nodes, *allocate(n, both, tau)), tau))
+        parts, ts = allocate(n, both, tau)
+        rows_ = staged(probes(nodes, parts, ts), "probes", few=True)
+        found = components(verified_links(split_hot(rows_, parts, tau), tau))
         joined = nodes.join(found.withColumnRenamed("component", "least"), nodes.fp == found.node, "left")
         merged = staged(joined.select("fp", "rep", F.coalesce("least", "fp").alias("component")), "merged", n)
     least = merged.groupBy("component").agg(F.min("rep").alias("id"))
