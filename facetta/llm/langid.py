@@ -23,6 +23,8 @@ from .common import few_files, table
 
 #: Documents a language gives to the training sample; all languages together, though each gives LEAST_PER_LANGUAGE or all it has.
 PER_LANGUAGE, SAMPLE_ROWS, LEAST_PER_LANGUAGE = 500, 100_000, 20
+#: N-gram shares of all of the sample's documents together, 8 bytes each on the driver: by the mean length of the texts.
+SAMPLE_ENTRIES = 8_000_000
 BUCKET_BITS, DIM, EPOCHS, RATE = 16, 16, 4, 0.5
 NGRAMS = (2, 3, 4)
 FOLDS = 5
@@ -158,18 +160,21 @@ def fold_of(doc_id) -> F.Column:
 def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, seed: int = SEED) -> Model:
     """Train on up to about ``per_language`` documents of each language outside fold 0, chosen by hash.
 
-    Every language that occurs is learned. Beyond SAMPLE_ROWS rows in all, each language gives fewer, but LEAST_PER_LANGUAGE.
-    Executors turn the sample's whole texts into n-gram shares; the driver gets these rows, of at most 2**BUCKET_BITS
-    entries, and holds a model of 2**BUCKET_BITS floats a language.
+    Every language that occurs is learned. Beyond SAMPLE_ROWS rows or SAMPLE_ENTRIES n-gram shares in all, each language
+    gives fewer, but LEAST_PER_LANGUAGE. Rows alike in doc_id and text count once. Executors turn the sample's whole texts
+    into n-gram shares; the driver gets these, at most 2**BUCKET_BITS a row, and holds a model of 2**BUCKET_BITS floats a
+    language.
     """
     pool = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id")) != 0))
-    counts = sorted(((r[1], r[0]) for r in pool.groupBy("lang").count().collect()), reverse=True)
+    entries = F.sum(F.least(F.octet_length("text") * len(NGRAMS), F.lit(1 << BUCKET_BITS)).cast("long"))  # at most
+    counts = sorted(((r[1], r[0], r[2]) for r in pool.groupBy("lang").agg(F.count(F.lit(1)), entries).collect()), reverse=True)
     if not counts:
         return train([], seed)
-    per_language = min(per_language, max(LEAST_PER_LANGUAGE, SAMPLE_ROWS // len(counts)))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000
-    share = F.create_map(*[F.lit(x) for n, lang in counts for x in (lang, min(1.0, per_language / n))])
-    chosen = pool.where(u < F.element_at(share, F.col("lang"))).select("text", "lang", F.xxhash64("doc_id", "text").alias("k"))
+    each = sum(e / n for n, _, e in counts)  # of one document of each language
+    per_language = min(per_language, max(LEAST_PER_LANGUAGE, min(SAMPLE_ROWS // len(counts), int(SAMPLE_ENTRIES / max(1.0, each)))))
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(1_000_000)) / 1_000_000
+    share = F.create_map(*[F.lit(x) for n, lang, _ in counts for x in (lang, min(1.0, per_language / n))])
+    chosen = pool.where(u < F.element_at(share, F.col("lang"))).select("text", "lang", F.xxhash64("doc_id", "text").alias("k")).dropDuplicates(["k", "lang"])
 
     def extract(batches):
         for b in batches:
@@ -179,8 +184,7 @@ def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE, seed: int = SEED)
                 names=["at", "share", "lang", "k"],
             )
 
-    bound = max(SAMPLE_ROWS, 2 * per_language * len(counts))  # met only if many rows share an ID
-    got = chosen.mapInArrow(extract, "at array<int>, share array<float>, lang string, k long").limit(bound).toArrow()
+    got = chosen.mapInArrow(extract, "at array<int>, share array<float>, lang string, k long").toArrow()
     if not got.num_rows:
         return train([], seed)
     at, shares = (got.column(i).combine_chunks() for i in (0, 1))
