@@ -1,8 +1,9 @@
 """Preference formatting of paired conversations.
 
 The longest common turn prefix of a chosen and a rejected conversation is the prompt, rendered once; what follows in each
-is its completion, in which only the assistant's turns are trained on. All of it stays in rows of one turn, so a
-conversation of any length is never gathered: the prefix ends at the smallest turn in which the two differ.
+is its completion, in which only the assistant's turns are trained on. The prefix ends at the smallest turn in which the
+two differ, which takes only aggregates. Prompt and completions are then put together by stretches of turns, so that a
+conversation of any length is never gathered whole.
 """
 
 from __future__ import annotations
@@ -15,12 +16,23 @@ from .common import table
 #: The marks around a turn.
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 ASSISTANT = "assistant"
+#: Turn numbers in one row of pairs: ordinary conversations are one row, longer ones several, to be read in order.
+STRETCH = 1000
+
+
+def _unmarked(value: Column) -> Column:
+    """A value in which marks are broken up, so that they can't begin or end a turn."""
+    return F.replace(F.coalesce(value, F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
+
+
+def header(role: Column) -> Column:
+    """What comes before a turn's text: the opening mark and the role, on one line whatever it holds."""
+    return F.concat(F.lit(BEGIN), F.translate(_unmarked(role), "\n\r", "  "), F.lit("\n"))
 
 
 def rendered(role: Column, text: Column) -> Column:
-    """A turn between its marks; marks inside a text are broken up so that they can't end a turn."""
-    clean = F.replace(F.coalesce(text, F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
-    return F.concat(F.lit(BEGIN), F.coalesce(role, F.lit("")), F.lit("\n"), clean, F.lit(END + "\n"))
+    """A turn between its marks."""
+    return F.concat(header(role), _unmarked(text), F.lit(END + "\n"))
 
 
 def preference_rows(turns: DataFrame) -> DataFrame:
@@ -63,9 +75,38 @@ def preference_rows(turns: DataFrame) -> DataFrame:
     )
 
 
+def preference_pairs(turns: DataFrame, *, stretch: int = STRETCH) -> DataFrame:
+    """``pair_id``, ``stretch``, ``prompt``, ``chosen``, ``rejected``, and ``chosen_mask`` and ``rejected_mask``: the parts of
+    the completions to train on, from behind an assistant's header to the end of its turn, as (begin, end) in code points.
+
+    ``turns`` and what nulls, repeated rows and missing partners give are as in ``preference_rows``; a repeated row is
+    rendered once, rows of one turn come in order of role and text. A pair has a row for each ``stretch`` turn numbers in
+    which it has any (null counts to the first), which follow each other in order of ``stretch``; masks count from the
+    beginning of a row's completion.
+    """
+    rows = preference_rows(turns).withColumn("stretch", F.floor(F.coalesce(F.col("turn"), F.lit(0)) / stretch).cast("long"))
+    own = F.struct("turn", "role", F.col("rendered").alias("text"), F.when(F.col("trained"), F.char_length(header(F.col("role")))).alias("skip"))
+    parts = ("prompt", "chosen", "rejected")
+    pairs = rows.groupBy("pair_id", "stretch").agg(*[F.array_sort(F.collect_list(F.when(F.col("part") == x, own))).alias(x) for x in parts])
+
+    def mask(part: str) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<begin: long, end: long>>").alias("spans"))
+
+        def step(a: Column, t: Column) -> Column:
+            end = a.at + F.char_length(t.text)
+            span = F.array(F.struct((a.at + t.skip).alias("begin"), end.alias("end")))
+            return F.struct(end.alias("at"), F.when(t.skip.isNull(), a.spans).otherwise(F.concat(a.spans, span)).alias("spans"))
+
+        return F.aggregate(part, start, step).spans
+
+    whole = [F.array_join(F.transform(x, lambda t: t.text), "").alias(x) for x in parts]
+    return pairs.select("pair_id", "stretch", *whole, *[mask(x).alias(f"{x}_mask") for x in parts[1:]])
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair."""
+    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair; masks as ``begin:end,...``."""
     turns = table(spark, sf_dir, "conversations")
     side = F.when(F.pmod("conv_id", F.lit(2)) == 1, F.lit("rejected")).otherwise(F.lit("chosen"))
-    paired = turns.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), side.alias("side"), "turn", "role", "text")
-    return preference_rows(paired)
+    pairs = preference_pairs(turns.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), side.alias("side"), "turn", "role", "text"))
+    spans = [F.array_join(F.transform(m, lambda x: F.concat_ws(":", x.begin.cast("string"), x.end.cast("string"))), ",").alias(m) for m in ("chosen_mask", "rejected_mask")]
+    return pairs.select("pair_id", "stretch", "prompt", "chosen", "rejected", *spans)

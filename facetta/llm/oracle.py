@@ -48,12 +48,24 @@ WITH t AS (
 ), counted AS (
   SELECT e.pair_id, e.first, count(*) FILTER (e.first IS NULL OR a.turn < e.first) AS prompt_turns
   FROM ends e JOIN alike a ON a.pair_id = e.pair_id GROUP BY ALL
+), rows_ AS (
+  SELECT t.pair_id, CASE WHEN first IS NULL OR turn < first THEN 'prompt' ELSE side END AS part, CAST(floor(coalesce(turn, 0) / 1000) AS BIGINT) AS stretch, turn, role, text,
+         '<|im_start|>' || translate(replace(coalesce(role, ''), '<|im_', '<| im_'), chr(10) || chr(13), '  ') || chr(10) AS header,
+         replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS body
+  FROM t JOIN counted c ON c.pair_id = t.pair_id
+  WHERE NOT (first IS NULL OR turn < first) OR side = 'chosen'
+), placed AS (
+  SELECT *, sum(length(header || body)) OVER (PARTITION BY pair_id, stretch, part ORDER BY turn, role, header || body) AS upto, part <> 'prompt' AND coalesce(role, '') = 'assistant' AS trained
+  FROM rows_
+), parts AS (
+  SELECT pair_id, stretch, part, string_agg(header || body, '' ORDER BY turn, role, header || body) AS whole,
+         string_agg(CAST(upto - length(body) AS VARCHAR) || ':' || CAST(upto AS VARCHAR), ',' ORDER BY upto) FILTER (trained) AS mask
+  FROM placed GROUP BY ALL
 )
-SELECT t.pair_id, CASE WHEN first IS NULL OR turn < first THEN 'prompt' ELSE side END AS part, turn, role,
-       '<|im_start|>' || coalesce(role, '') || chr(10) || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS rendered,
-       NOT (first IS NULL OR turn < first) AND coalesce(role, '') = 'assistant' AS trained, copies, prompt_turns
-FROM t JOIN counted c ON c.pair_id = t.pair_id
-WHERE NOT (first IS NULL OR turn < first) OR side = 'chosen'
+SELECT pair_id, stretch, coalesce(max(whole) FILTER (part = 'prompt'), '') AS prompt, coalesce(max(whole) FILTER (part = 'chosen'), '') AS chosen,
+       coalesce(max(whole) FILTER (part = 'rejected'), '') AS rejected, coalesce(max(mask) FILTER (part = 'chosen'), '') AS chosen_mask,
+       coalesce(max(mask) FILTER (part = 'rejected'), '') AS rejected_mask
+FROM parts GROUP BY pair_id, stretch
 """
 
 def _whole(piece: str) -> str:
