@@ -131,18 +131,25 @@ def test_suffix_dedup_gives_what_is_left(spark):
     assert got[1]["kept"].startswith("é") and got[1]["kept"].endswith(" tail one") and got[3]["kept"] == "nothing shared"
 
 
-def test_suffixes_of_all_strings_in_order(spark):
+@pytest.mark.parametrize("hot", [[], [1], [1, 2]])
+def test_suffixes_of_all_strings_in_order(spark, hot):
     """Sorted triples, recursion and the merge against plain sorting, with runs of one symbol and equal strings."""
     rng = np.random.default_rng(3)
-    sym = [[int(x) for x in rng.integers(1, 3, rng.integers(1, 14))] for _ in range(60)] + [[1] * 40, [1] * 38, [2, 1] * 15, [1], [2]]
+    sym = [[int(x) for x in rng.integers(1, 4, rng.integers(1, 14))] for _ in range(60)] + [[1] * 40, [1] * 38, [2, 1] * 15, [1], [2]]
     frame = spark.createDataFrame(list(enumerate(sym)), "sid long, syms array<long>")
-    got = suffixes.all_ranks(frame, 10_000).collect()
+    got = suffixes.all_ranks(frame, 10_000, hot).collect()
     order = sorted((rank, tuple(sym[r["sid"]][j:])) for r in got for j, rank in enumerate(r["ranks"]))
-    assert len({r for r, _ in order}) == sum(map(len, sym))
+    assert all(x[1] == y[1] for x, y in zip(order, order[1:]) if x[0] == y[0])  # equal suffixes may tie
     tails = [t for _, t in order]
     assert tails == sorted(tails)
 
 
+def test_suffix_dedup_with_frequent_phrases(spark, docs, texts, monkeypatch):
+    """Every phrase that comes more than twice is ordered over all tasks, in the recursion too."""
+    monkeypatch.setattr(suffixes, "hot_limit", lambda spark, n: 2)
+    assert suffix_result(suffixes.remove_repeats(docs)) == removed(texts.items())
+
+
 def test_fingerprints(spark, docs, texts):
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs.repartition(5)).collect()}
     ids = sorted(texts)
