@@ -378,7 +378,7 @@ def arrow_holdout_equiv(spark, sf_dir):
 
 def event_folds(data: Dataset) -> list[Fold]:
     n, a, b = len(data), int(len(data) * 0.4 + 1e-9), int(len(data) * 0.2 + 1e-9)
-    return sliding_folds(n, a, b, b)[:3]
+    return sliding_folds(n, a, b, b)
 
 
 _ONES, _TWOS = [[0], [1], [2]], [[0, 1], [2, 3], [4, 0]]
@@ -452,6 +452,20 @@ def arrow_within_loo_equiv(spark, sf_dir):
 
 # The steps of a search, on a queue with ties, NaN and infinity
 
+_LONE = f"""SELECT engine, CAST(sid AS BIGINT) AS sid, true AS undefined, CAST(n AS BIGINT) AS n_rows
+  FROM (VALUES ('arrow'), ('columns')) e(engine), (SELECT unnest(range(0, {len(_TWOS)})) AS sid), (SELECT count(*) AS n FROM data WHERE t < 5)"""
+
+
+@query(q(oracle.ev(cross=True), select=_LONE))
+def loo_theiler_excludes_all(spark, sf_dir):
+    """Five rows and a window of two: the middle row has no neighbour, so no metric is defined, whatever the engine."""
+    data, parts = Subset(fixtures.events(spark, sf_dir, cross=True), range(5)), []
+    for engine in ("arrow", "columns"):
+        _, e = cross.loo(data=data, metric=MAE, theiler_window=2, engine=engine)
+        parts.append(e(states(spark, _TWOS)).select(F.lit(engine).alias("engine"), "sid", F.isnan("energy").alias("undefined"), F.lit(len(data)).cast("long").alias("n_rows")))
+    return parts[0].unionByName(parts[1])
+
+
 _QUEUE = [(0, 2.0), (1, 1.0), (2, float("nan")), (3, 1.0), (4, float("inf")), (5, 3.0), (6, 1.0), (7, -0.5)]
 _QUEUE_SQL = "v AS (SELECT * FROM (VALUES " + ", ".join(f"({s}, {e!r}::DOUBLE)" if np.isfinite(e) else f"({s}, '{e}'::DOUBLE)" for s, e in _QUEUE) + ") v(seq, energy))"
 _SEQ = "SELECT CAST(seq AS BIGINT) AS seq, CAST(energy AS VARCHAR) AS energy FROM "
@@ -611,7 +625,9 @@ def lag_embedding(spark, sf_dir):
     return _numbers(lag_embed(fixtures.hourly_events(spark, sf_dir).select("t", F.get("x", F.lit(2)).alias("v")), E=3, tau=2))
 
 
-_GRID = {"E": (1, 2), "tau": (1, 2), "columns": (0, 2)}
+_GRID = {"E": (1, 2), "tau": (1, 2), "columns": (0, 1, 2, 3, 4)}
+#: The grid of the documented experiment.
+_FULL_GRID = {"E": range(1, 11), "tau": range(1, 6)}
 
 
 def _scan_ctes() -> list[str]:
@@ -640,6 +656,43 @@ def scan_grid(spark, sf_dir):
     return _scan(spark, sf_dir).select("col", "E", "tau", r6("score").alias("score"))
 
 
+@query(q(*_scan_ctes(), select="SELECT col, E, tau, round(score, 6) AS score FROM grid"))
+def scan_grid_columns(spark, sf_dir):
+    """The same by one top-k over a table of all cells."""
+    out = embedding.scan(fixtures.events(spark, sf_dir, cross=True).frame, **_GRID, engine="columns")
+    return out.select("col", "E", "tau", r6("score").alias("score"))
+
+
+def _past_sql(e: int, lag: int) -> str:
+    return "[" + ", ".join(f"lag(v, {k * lag}) OVER w" for k in range(e)) + "]"
+
+
+#: A row for each column, time and cell of the grid: the cell's number of rows, the row's place among them and its past.
+_CELLS = " UNION ALL ".join(
+    f"SELECT col, {e} AS E, {lag} AS tau, {oracle.N} - {(e - 1) * lag} AS n, t - {(e - 1) * lag} AS p, {_past_sql(e, lag)} AS x, y FROM line WINDOW w AS (PARTITION BY col ORDER BY t)"
+    for e in _FULL_GRID["E"] for lag in _FULL_GRID["tau"]
+)
+_FULL_SCAN = [
+    oracle.ev(cross=True),
+    "line AS (SELECT t, col, x[col + 1] AS v, CAST(y[1] AS DOUBLE) AS y FROM data, (SELECT unnest(range(0, 5)) AS col))",
+    f"cells AS MATERIALIZED (SELECT *, CAST(floor(n * 0.8 + 1e-9) AS BIGINT) AS cut FROM ({_CELLS}) WHERE p >= 0)",
+    """near AS (SELECT *, greatest(exp(-dist / greatest(min(dist) OVER (PARTITION BY col, E, tau, tq), 1e-6)), 1e-6) AS w FROM (
+        SELECT q.col, q.E, q.tau, q.p AS tq, q.y AS obs, l.p AS tl, l.y AS yl,
+               sqrt(list_sum(list_transform(list_zip(q.x, l.x), lambda z: pow(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE), 2)))) AS dist
+        FROM cells q JOIN cells l ON q.col = l.col AND q.E = l.E AND q.tau = l.tau WHERE q.p >= q.cut AND l.p < l.cut
+        QUALIFY row_number() OVER (PARTITION BY q.col, q.E, q.tau, q.p ORDER BY dist, l.p) <= q.E + 1))""",
+    "pred AS (SELECT col, E, tau, tq, sum(w * yl) / sum(w) AS pred, max(obs) AS obs FROM near GROUP BY ALL)",
+    "grid AS (SELECT col, E, tau, covar_pop(pred, obs) / nullif(stddev_pop(pred) * stddev_pop(obs), 0) AS score FROM pred GROUP BY ALL)",
+]
+
+
+@query(q(*_FULL_SCAN, select="SELECT CAST(col AS INTEGER) AS col, E, tau, round(score, 6) AS score FROM grid"))
+def scan_full_grid(spark, sf_dir):
+    """All columns with ten dimensions and five lags, as in the documented experiment."""
+    out = embedding.scan(fixtures.events(spark, sf_dir, cross=True).frame, columns=range(5), **_FULL_GRID)
+    return out.select("col", "E", "tau", r6("score").alias("score"))
+
+
 _BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY round(score, 9) DESC, E, tau) AS rn FROM grid WHERE score IS NOT NULL) WHERE rn = 1)"
 
 
@@ -696,24 +749,46 @@ def sweep_small(spark, sf_dir):
     return out.select("metric", "energy", "strategy", "step", text("selected"), r6("train").alias("train"), r6("validation").alias("validation"))
 
 
+@query()
+def sweep_full(spark, sf_dir):
+    """Three metrics, five energies and two strategies, 30 searches on the events; each state has its validation."""
+    data = fixtures.events(spark, sf_dir, cross=False)
+    build = {
+        "cross_holdout": lambda d, m: cross.holdout(data=d, fold=inner_fold(d), predict=simplex, metric=m),
+        "cross_folds": lambda d, m: cross.folds(data=d, folds=event_folds(d), predict=simplex, metric=m, weight=softmax()),
+        "cross_loo": lambda d, m: cross.loo(data=d, metric=m, theiler_window=2),
+        "within_folds": lambda d, m: within.folds(data=d, folds=event_folds(d), predict=simplex, metric=m, weight=softmax()),
+        "within_loo": lambda d, m: within.loo(data=d, metric=m, theiler_window=2),
+    }
+    strategies = {"greedy": lambda e, n: greedy(e, n, depth=3), "beam": lambda e, n: beam(e, n, width=1, depth=3, beams=3)}
+    out = sweep(data, metrics=[MAE, RMSE, CORR], energies=build, strategies=strategies)
+    return out.select("metric", "energy", "strategy", "step", text("selected"), r6("train").alias("train"), r6("validation").alias("validation"))
+
+
 @query()
 def lorenz96_recovery(spark, sf_dir):
-    """Which of the six signal columns among 24 a greedy search finds: generated data, no SQL."""
-    data, informative = lorenz96_dataset(spark, T=600)
-    found = subset_search(data, depth=4)
-    return found.join(recovery_count(found, informative), "depth").select("depth", text(), "energy", "validation", "recovered")
+    """Which of the six signal columns among 24 a greedy search to depth 8 finds, of those that the scan of lag embeddings
+    keeps: 2000 generated rows, no SQL."""
+    data, informative = lorenz96_dataset(spark, T=2000)
+    train = training(data)
+    good = [r["col"] for r in embedding.prefilter(embedding.scan(train.frame, columns=range(data.widths[0]), **_FULL_GRID), 0.1).orderBy("col").collect()]
+    mask = [i in good for i in range(data.widths[0])]
+    kept = Dataset.from_frame(mask_columns(mask)(data.frame))
+    found = subset_search(kept, depth=min(8, len(good)))
+    return found.join(recovery_count(found, [good.index(i) for i in informative if i in good]), "depth").select("depth", text(), "energy", "validation", "recovered")
 
 
-_FLAGSHIP = [[j] for j in range(8)]
+_EMBEDDED = 64
+_FLAGSHIP = [[j] for j in range(_EMBEDDED)]
 
 
-@query(q(oracle.emb(8), oracle.states(_FLAGSHIP), oracle.arms([oracle.INNER]), oracle.simplex(1), oracle.metric("corr"), select=_ENERGY))
+@query(q(oracle.emb(_EMBEDDED), oracle.states(_FLAGSHIP), oracle.arms([oracle.INNER]), oracle.simplex(1), oracle.metric("corr"), select=_ENERGY))
 def single_columns(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every single column scored on the inner fold, best first: greedy depth one."""
-    data = training(fixtures.embeddings(spark, sf_dir, 8))
-    _, e = cross.holdout(data=data, fold=inner_fold(data), predict=simplex, metric=CORR, engine="columns")
+    data = training(fixtures.embeddings(spark, sf_dir, _EMBEDDED))
+    _, e = cross.holdout(data=data, fold=inner_fold(data), predict=simplex, metric=CORR)
     return _energy(e(states(spark, _FLAGSHIP))).orderBy("energy", "sid")

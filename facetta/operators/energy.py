@@ -52,36 +52,45 @@ class Energy:
             raise ValueError("engine 'columns' needs a built-in predictor and metric")
         self.engine = engine
         self._columnar = columnar
-        self._arms = self._matrices = None
+        self._arms = self._places = None
         self.initial_context = [0.0] * len(folds) if weight is not None else []
 
     def _fits(self) -> bool:
         """Whether the series is small enough to broadcast to Python workers."""
         return len(self.data) * sum(self.data.widths) * 8 <= BROADCAST_BYTES
 
-    def __call__(self, states: DataFrame) -> DataFrame:
+    def __call__(self, states: DataFrame, *, size: int | None = None, count: int | None = None, mixed: bool = False) -> DataFrame:
+        """``states`` with ``energy`` and the new ``context``.
+
+        States must be valid and of one length, or with ``mixed`` of any. A search that made them itself gives their
+        ``size``, and how many there are at most: then they aren't looked at.
+        """
         engine = self.engine
         if engine == "auto":
             engine = "arrow" if self._fits() or not self._columnar else "columns"
         if engine == "arrow" and not self._fits():
             raise ValueError(f"the series is too large for engine 'arrow': over {BROADCAST_BYTES} bytes")
+        dx, dy = self.data.widths
+        if self.within and dy < dx:
+            raise ValueError(f"within-energies need a target column per series column, got {dy} for {dx}")
+        score = self._columns if engine == "columns" else self._arrow
+        if size is not None and count is not None:
+            return score(states, size, count)
         shape = states.agg(
             F.min(F.size("state")).alias("d"),
             F.max(F.size("state")).alias("most"),
             F.min(F.array_min("state")).alias("low"),
             F.max(F.array_max("state")).alias("high"),
             F.count(F.when(F.size("state") != F.size(F.array_distinct("state")), 1)).alias("twice"),
+            F.count(F.lit(1)).alias("n"),
         ).first()
         if shape["d"] is None:
             return states.withColumn("energy", F.lit(0.0)).select(*states.columns, "energy")
-        dx, dy = self.data.widths
-        if self.within and dy < dx:
-            raise ValueError(f"within-energies need a target column per series column, got {dy} for {dx}")
-        if shape["d"] != shape["most"]:
+        if shape["d"] != shape["most"] and not mixed:
             raise ValueError(f"states must have the same length, got {shape['d']} and {shape['most']}")
         if shape["d"] < 1 or shape["low"] < 0 or shape["high"] >= dx or shape["twice"]:
             raise ValueError(f"states must hold different column numbers from 0 to {dx - 1}, at least one")
-        return (self._columns if engine == "columns" else self._arrow)(states, shape["d"])
+        return score(states, shape["most"], shape["n"])
 
     # DataFrame engine
 
@@ -92,8 +101,8 @@ class Energy:
             self._arms = tuple(joined.where(F.col("arm") == arm).drop("arm") for arm in ("validation", "train"))
         return self._arms
 
-    def _columns(self, states: DataFrame, d: int) -> DataFrame:
-        size = {"rows": len(self.data), "width": sum(self.data.widths), "within": self.within}
+    def _columns(self, states: DataFrame, d: int, count: int) -> DataFrame:
+        size = {"rows": len(self.data), "width": sum(self.data.widths), "count": count, "within": self.within}
         if self.folds is None:
             rows = loo_predictions(states, self.data.frame, d, theiler=self.theiler, **size)
         else:
@@ -113,24 +122,21 @@ class Energy:
 
     # Arrow engine
 
-    def _arrays(self):
-        if self._matrices is None:
-            got = self.data.frame.orderBy("t").toArrow()  # at most BROADCAST_BYTES, see _fits
-            x, y = (np.stack(got.column(c).combine_chunks().to_numpy(zero_copy_only=False)).astype(float) if got.num_rows else np.zeros((0, 0)) for c in ("x", "y"))
-            t = got.column("t").to_numpy()
-            at = {int(v): i for i, v in enumerate(t)}
-            arms = None
-            if self.folds is not None:
-                arms = [tuple(np.array([at[int(i)] for i in rows], int) for rows in (f.train, f.validation)) for f in self.folds]
-            self._matrices = self.data.frame.sparkSession.sparkContext.broadcast((x, y, arms))
-        return self._matrices
-
-    def _arrow(self, states: DataFrame, d: int) -> DataFrame:
-        shared, predict, metric, weight = self._arrays(), self.predict or simplex, self.metric, self.weight
+    def _fold_places(self):
+        """The folds' rows by their places in the broadcast series."""
+        if self._places is None and self.folds is not None:
+            at = {int(v): i for i, v in enumerate(self.data.matrices().value[2])}
+            arms = [tuple(np.array([at[int(i)] for i in rows], int) for rows in (f.train, f.validation)) for f in self.folds]
+            self._places = self.data.frame.sparkSession.sparkContext.broadcast(arms)
+        return self._places
+
+    def _arrow(self, states: DataFrame, d: int, count: int) -> DataFrame:
+        shared, places, predict, metric, weight = self.data.matrices(), self._fold_places(), self.predict or simplex, self.metric, self.weight
         theiler, within, batch = self.theiler, self.within, self.batch_size
 
         def score(idx: np.ndarray, context: np.ndarray):
-            x, y, arms = shared.value
+            x, y, _ = shared.value
+            arms = places.value if places else None
             X = x[:, idx].transpose(1, 0, 2)  # noqa: N806
             Y = y[:, idx].transpose(1, 0, 2) if within else np.broadcast_to(y, (len(idx), *y.shape))  # noqa: N806
             if arms is None:
@@ -144,11 +150,15 @@ class Energy:
         names = states.columns
         at_state, at_context = names.index("state"), names.index("context")
 
+        def by_length(b: pa.RecordBatch):
+            sizes = np.diff(b.column(at_state).offsets.to_numpy())
+            return (b.take(pa.array(np.flatnonzero(sizes == n))) for n in np.unique(sizes))
+
         def apply(batches):
-            for whole in batches:
+            for whole in (part for b in batches for part in by_length(b)):
                 for start in range(0, whole.num_rows, batch):
                     b = whole.slice(start, batch)
-                    idx = np.array(b.column(at_state).to_pylist(), int).reshape(b.num_rows, d)
+                    idx = np.array(b.column(at_state).to_pylist(), int).reshape(b.num_rows, -1)
                     context = np.array(b.column(at_context).to_pylist(), float).reshape(b.num_rows, -1)
                     energy, after = score(idx, context)
                     columns = list(b.columns)
@@ -157,5 +167,5 @@ class Energy:
 
         kinds = dict(states.dtypes)
         schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", energy double"
-        tasks = states.sparkSession.sparkContext.defaultParallelism
+        tasks = max(1, min(count, states.sparkSession.sparkContext.defaultParallelism))
         return states.repartition(tasks, "sid").mapInArrow(apply, schema)

@@ -13,16 +13,16 @@ from ..work import BROADCAST_BYTES
 
 #: Floors of the least distance and of a weight.
 LEAST_DISTANCE = LEAST_WEIGHT = 1e-6
-#: Library rows in a block where the library is too large to broadcast.
-BLOCK_ROWS = 4096
+#: A row's distance to itself where it may not be its own neighbour: behind all others, without weight.
+NOWHERE = float("inf")
 
 
 def distance(d: int) -> Column:
-    """Euclidean distance of ``xq`` and ``xl`` in the ``d`` columns of ``state``: unrolled, so that it compiles."""
+    """Euclidean distance of ``xq`` and ``xl`` in the columns of ``state``, at most ``d``: unrolled, so that it compiles."""
     total = F.lit(0.0)
     for j in range(d):
         k = F.get("state", F.lit(j)).cast("int")
-        total = total + F.pow(F.get("xq", k).cast("double") - F.get("xl", k).cast("double"), F.lit(2.0))
+        total = total + F.coalesce(F.pow(F.get("xq", k).cast("double") - F.get("xl", k).cast("double"), F.lit(2.0)), F.lit(0.0))
     return F.sqrt(total)
 
 
@@ -31,55 +31,76 @@ def gathered(y: str, d: int) -> Column:
     return F.array(*[F.get(y, F.get("state", F.lit(j)).cast("int")) for j in range(d)])
 
 
-def neighbours(states: DataFrame, queries: DataFrame, library: DataFrame, d: int, *, rows: int, width: int, theiler: int | None = None) -> DataFrame:
-    """The d + 1 nearest library rows of every query in every state, with ``dist`` and weight ``w``.
+def paired(q: DataFrame, lib: DataFrame, *, rows: int, width: int) -> DataFrame:
+    """Every query with every library row of its fold.
 
-    ``states``: sid, state. ``queries`` and ``library``: fold_id, pos, x, y. ``theiler`` excludes library rows at most that
-    many positions away. ``rows`` and ``width`` size the library: if it's too large to broadcast, it's dealt into blocks,
-    each met by every query, and the nearest of each block are merged by the same top-k (whose first half runs before the
-    shuffle).
+    A library that may be broadcast is; the queries are dealt once, so that the top-k and the prediction need no further
+    exchange. Beyond that the rows of both sides are dealt into blocks of BROADCAST_BYTES, and each two blocks meet in one
+    task by an equi-join: exact neighbours in any columns take all distances, and a row is sent once for each block of the
+    other side. Top-k runs in each task before its results are merged.
     """
-    s = F.broadcast(states.select("sid", "state"))  # a frontier: width * columns rows at most
+    blocks = -(-rows * width * 8 // BROADCAST_BYTES)
+    if blocks <= 1:
+        spark = q.sparkSession
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return q.repartition(tasks, "tq").join(F.broadcast(lib), "fold_id")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    q = q.withColumn("qb", F.pmod("tq", F.lit(blocks)).cast("int")).withColumn("lb", every)
+    lib = lib.withColumn("lb", F.pmod("tl", F.lit(blocks)).cast("int")).withColumn("qb", every)
+    return q.join(lib.hint("shuffle_hash"), ["fold_id", "qb", "lb"])
+
+
+def neighbours(
+    states: DataFrame, queries: DataFrame, library: DataFrame, d: int, *, rows: int, width: int, count: int, theiler: int | None = None
+) -> DataFrame:
+    """The nearest library rows of every query in every state, one more than it has columns, with ``dist`` and weight ``w``.
+
+    ``states``: sid, state (of ``d`` columns at most), and fold_id if each belongs to one fold. ``queries`` and ``library``:
+    fold_id, pos, x, y. ``theiler`` excludes library rows at most that many positions away; a query itself stays,
+    infinitely far and without weight, so that one with no neighbour is still there. ``count`` says how many states there
+    are: too many to broadcast meet the queries by blocks. ``rows`` and ``width`` size the library, see ``paired``.
+    """
+    s = states.select("sid", "state", *[c for c in states.columns if c == "fold_id"])
     q = queries.select("fold_id", F.col("pos").alias("tq"), F.col("x").alias("xq"), F.col("y").alias("yq"))
     lib = library.select("fold_id", F.col("pos").alias("tl"), F.col("x").alias("xl"), F.col("y").alias("yl"))
-    if rows * width * 8 <= BROADCAST_BYTES:
-        # Dealt by query once: the top-k and the prediction need no further exchange.
-        spark = queries.sparkSession
-        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        pairs = q.repartition(tasks, "tq").crossJoin(s).join(F.broadcast(lib), "fold_id")
+    blocks = -(-count * (d + 2) * 8 // BROADCAST_BYTES)
+    if blocks > 1:
+        q = q.withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(s.withColumn("sb", F.pmod("sid", F.lit(blocks)).cast("int")), [c for c in ("sb", "fold_id") if c == "sb" or c in s.columns])
+        pairs = paired(q, lib, rows=rows, width=width)
     else:
-        blocks = -(-rows // BLOCK_ROWS)
-        q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        lib = lib.withColumn("block", F.pmod("tl", F.lit(blocks)).cast("int"))
-        pairs = q.join(lib, ["fold_id", "block"]).crossJoin(s)
+        pairs = paired(q, lib, rows=rows, width=width)
+        pairs = pairs.join(F.broadcast(s), "fold_id") if "fold_id" in s.columns else pairs.crossJoin(F.broadcast(s))
+    dist = distance(d)
     if theiler is not None:
-        pairs = pairs.where(F.abs(F.col("tq") - F.col("tl")) > theiler)
-    ranked = pairs.withColumn("dist", distance(d)).select(
-        "*", F.expr("row_number() over (partition by sid, fold_id, tq order by dist, tl)").alias("rn")
-    )
-    near = ranked.where(F.col("rn") <= d + 1).drop("rn")
+        near = F.abs(F.col("tq") - F.col("tl")) <= theiler
+        pairs = pairs.where(~near | (F.col("tq") == F.col("tl")))
+        dist = F.when(near, F.lit(NOWHERE)).otherwise(dist)
+    ranked = pairs.withColumn("dist", dist).select("*", F.expr("row_number() over (partition by sid, fold_id, tq order by dist, tl)").alias("rn"))
+    # The bound for all lets Spark cut each task's rows before the shuffle.
+    near = ranked.where((F.col("rn") <= d + 1) & (F.col("rn") <= F.size("state") + 1)).drop("rn")
     first = F.greatest(F.expr("min(dist) over (partition by sid, fold_id, tq)"), F.lit(LEAST_DISTANCE))
-    return near.withColumn("w", F.greatest(F.exp(-F.col("dist") / first), F.lit(LEAST_WEIGHT)))
+    weight = F.greatest(F.exp(-F.col("dist") / first), F.lit(LEAST_WEIGHT))
+    return near.withColumn("w", F.when(F.col("dist") == NOWHERE, F.lit(0.0)).otherwise(weight))
 
 
 def weighted(near: DataFrame, d: int, *, within: bool) -> DataFrame:
-    """``sid``, ``fold_id``, ``tq``, ``target``, ``pred``, ``obs``: the neighbours' weighted targets.
+    """``sid``, ``fold_id``, ``tq``, ``target``, ``pred``, ``obs``: the neighbours' weighted targets, NaN without neighbours.
 
     Grouping keeps the partitioning of the top-k: no further shuffle.
     """
     both = F.arrays_zip(gathered("yl", d).alias("yl"), gathered("yq", d).alias("yq")) if within else F.arrays_zip("yl", "yq")
+    both = F.slice(both, F.lit(1), F.size("state")) if within else both
     each = near.select("sid", "fold_id", "tq", "w", F.posexplode(both).alias("target", "v"))
-    return each.groupBy("sid", "fold_id", "tq", "target").agg(
-        (F.sum(F.col("w") * F.col("v.yl")) / F.sum("w")).alias("pred"), F.max(F.col("v.yq").cast("double")).alias("obs")
-    )
+    pred = F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("v.yl")), F.sum("w")), F.lit(float("nan")))
+    return each.groupBy("sid", "fold_id", "tq", "target").agg(pred.alias("pred"), F.max(F.col("v.yq").cast("double")).alias("obs"))
 
 
-def simplex_predictions(states, queries, library, d: int, *, rows: int, width: int, within: bool = False) -> DataFrame:
+def simplex_predictions(states, queries, library, d: int, *, rows: int, width: int, count: int = 1, within: bool = False) -> DataFrame:
     """Predictions of every query's targets in every state."""
-    return weighted(neighbours(states, queries, library, d, rows=rows, width=width), d, within=within)
+    return weighted(neighbours(states, queries, library, d, rows=rows, width=width, count=count), d, within=within)
 
 
-def loo_predictions(states, series, d: int, *, rows: int, width: int, theiler: int = 0, within: bool = False) -> DataFrame:
+def loo_predictions(states, series, d: int, *, rows: int, width: int, count: int = 1, theiler: int = 0, within: bool = False) -> DataFrame:
     """Every row predicted from all others that are over ``theiler`` positions away."""
     own = series.select(F.lit(0).alias("fold_id"), F.col("t").alias("pos"), "x", "y")
-    return weighted(neighbours(states, own, own, d, rows=rows, width=width, theiler=theiler), d, within=within)
+    return weighted(neighbours(states, own, own, d, rows=rows, width=width, count=count, theiler=theiler), d, within=within)

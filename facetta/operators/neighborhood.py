@@ -37,9 +37,13 @@ def forward(n: int) -> Neighborhood:
         raise ValueError(f"n must be non-negative, got {n}")
 
     def neighbours(parents: DataFrame, seed: int, step: int) -> DataFrame:
-        each = expand(parents, n).withColumn("__h", hash48(seed, step, F.col("rank"), F.col("child")))
-        return each.withColumn("child_rank", F.expr("row_number() over (partition by rank order by __h, child) - 1")).drop("__h")
+        # Sorted in the parent's own row: no exchange.
+        free = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: ~F.array_contains("state", j.cast("bigint"))) if n else F.array().cast("array<int>")
+        order = F.array_sort(F.transform(free, lambda j: F.struct(hash48(seed, step, F.col("rank"), j).alias("h"), j.alias("child"))))
+        each = parents.select("*", F.posexplode(order).alias("child_rank", "__c")).withColumn("child", F.col("__c.child")).drop("__c")
+        return each.withColumn("state", F.concat("state", F.array(F.col("child").cast("bigint"))))
 
+    neighbours.children = n  # of a parent at most, each one column longer, all valid
     return neighbours
 
 

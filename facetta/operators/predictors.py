@@ -18,9 +18,10 @@ def _distances(X: np.ndarray, Q: np.ndarray) -> np.ndarray:  # noqa: N803
 def _project(dist: np.ndarray, Y: np.ndarray, k: int) -> np.ndarray:  # noqa: N803
     near = np.argsort(dist, axis=1, kind="stable")[:, :k]
     d = np.take_along_axis(dist, near, axis=1)
-    w = np.maximum(np.exp(-d / np.maximum(d[:, :1], LEAST_DISTANCE)), LEAST_WEIGHT)
-    w[~np.isfinite(d)] = 0  # excluded rows
-    return np.einsum("mk,mkd->md", w, Y[near]) / w.sum(axis=1, keepdims=True)
+    with np.errstate(invalid="ignore"):  # a query without neighbours has no prediction
+        w = np.maximum(np.exp(-d / np.maximum(d[:, :1], LEAST_DISTANCE)), LEAST_WEIGHT)
+        w[~np.isfinite(d)] = 0  # excluded rows
+        return np.einsum("mk,mkd->md", w, Y[near]) / w.sum(axis=1, keepdims=True)
 
 
 def _batched(one, *arrays):

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +21,12 @@ from .strategy import Frontier, beam, greedy, initial_frontier, trace_frame
 
 
 def validate_trace(trace: DataFrame, data: Dataset, fold: Fold, *, predict: Callable = simplex, metric=CORR, engine: str = "auto") -> DataFrame:
-    """``trace`` (depth, state, energy) with ``validation``: each state fitted on all of the fold's training rows."""
-    parts = []
-    for row in trace.select("depth").distinct().collect():  # one row a depth
-        states = trace.where(F.col("depth") == row["depth"]).select(F.col("depth").cast("long").alias("sid"), "state", F.array().cast("array<double>").alias("context"))
-        _, energy = cross.holdout(data=data, fold=fold, predict=predict, metric=metric, engine=engine)
-        parts.append(energy(states).select(F.col("sid").cast("int").alias("depth"), F.col("energy").alias("validation")))
-    return trace.join(reduce(DataFrame.unionByName, parts), "depth") if parts else trace.withColumn("validation", F.lit(None).cast("double"))
+    """``trace`` (depth, state, energy) with ``validation``: each state fitted on all of the fold's training rows, all
+    depths in one pass."""
+    states = trace.select(F.col("depth").cast("long").alias("sid"), "state", F.array().cast("array<double>").alias("context"))
+    _, energy = cross.holdout(data=data, fold=fold, predict=predict, metric=metric, engine=engine)
+    scored = energy(states, mixed=True).select(F.col("sid").cast("int").alias("depth"), F.col("energy").cast("double").alias("validation"))
+    return trace.join(F.broadcast(scored), "depth")  # a row a depth
 
 
 def best_step(validated: DataFrame) -> DataFrame:
@@ -55,9 +57,10 @@ def subset_search(
 
 
 def sweep(
-    data: Dataset, *, metrics: Sequence[Metric], energies: dict[str, Callable[[Dataset, Metric], tuple]], strategies: dict[str, Callable], outer: float = 0.8, seed: int = 0
+    data: Dataset, *, metrics: Sequence[Metric], energies: dict[str, Callable[[Dataset, Metric], tuple]], strategies: dict[str, Callable], outer: float = 0.8, seed: int = 0,
+    threads: int = 8,
 ) -> DataFrame:
-    """Every metric with every energy and strategy on the same outer fold and seed.
+    """Every metric with every energy and strategy on the same outer fold and seed, ``threads`` searches at a time.
 
     ``energies`` map a name to (training data, metric) -> (context, energy), ``strategies`` a name to (energy,
     neighborhood) -> strategy. Rows: metric, energy, strategy, step, selected, train, validation.
@@ -65,20 +68,21 @@ def sweep(
     spark = data.frame.sparkSession
     outside = temporal_fold(len(data), outer)
     train = Subset(data, outside.train)
-    parts = []
-    for metric in metrics:
-        for energy_name, build in energies.items():
-            context, energy = build(train, metric)
-            for strategy_name, make in strategies.items():
-                found: list[Frontier] = list(make(energy, forward(data.widths[0]))(initial_frontier(spark, context), seed))
-                checked = validate_trace(trace_frame(found, spark), data, outside, metric=metric)
-                parts.append(
-                    checked.select(
-                        F.lit(metric.name).alias("metric"), F.lit(energy_name).alias("energy"), F.lit(strategy_name).alias("strategy"), F.col("depth").alias("step"),
-                        F.col("state").alias("selected"), F.col("energy").alias("train"), "validation",
-                    )
-                )
-    return reduce(DataFrame.unionByName, parts)
+    sizes = len(train), train.widths  # known before threads ask for them
+
+    def run(trial) -> DataFrame:
+        metric, (energy_name, build), (strategy_name, make) = trial
+        context, energy = build(train, metric)
+        found: list[Frontier] = list(make(energy, forward(sizes[1][0]))(initial_frontier(spark, context), seed))
+        checked = validate_trace(trace_frame(found, spark), data, outside, metric=metric)
+        return checked.select(
+            F.lit(metric.name).alias("metric"), F.lit(energy_name).alias("energy"), F.lit(strategy_name).alias("strategy"), F.col("depth").alias("step"),
+            F.col("state").alias("selected"), F.col("energy").alias("train"), "validation",
+        )
+
+    trials = list(product(metrics, energies.items(), strategies.items()))
+    with ThreadPoolExecutor(threads) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(run), trials))
 
 
 __all__ = ["best_step", "greedy", "recovery_count", "subset_search", "sweep", "validate_trace"]

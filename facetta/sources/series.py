@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from threading import Lock
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,13 +39,17 @@ class Dataset:
         y = F.col("y") if ny else F.array("y")
         a = X.select(F.col("t").cast("long").alias("t"), F.col("x").cast("array<float>").alias("x"))
         b = Y.select(F.col("t").cast("long").alias("t"), y.cast("array<float>").alias("y"))
-        na, nb = a.count(), b.count()
+        na, nb, both = a.count(), b.count(), a.join(b, "t")
         if na != nb:
             raise ValueError(f"X and Y must have the same length, got {na} and {nb}")
-        self._open(a.join(b, "t"), transform, na)
+        met, steps = both.agg(F.count(F.lit(1)), F.count_distinct("t")).first()
+        if met != na or steps != na:
+            raise ValueError(f"X and Y must have the same time steps, each once, but {na} rows of each meet in {met}, at {steps} steps")
+        self._open(both, transform, na)
 
     def _open(self, frame: DataFrame, transform: Transform | None, rows: int | None = None) -> None:
         self.frame, self.transform, self._rows, self._widths = frame, transform, rows, None
+        self._matrices, self._lock = None, Lock()
 
     @classmethod
     def from_frame(cls, frame: DataFrame, *, transform: Transform | None = None) -> Dataset:
@@ -80,6 +87,15 @@ class Dataset:
             self._rows = self.frame.count()
         return self._rows
 
+    def matrices(self) -> Broadcast:
+        """``x``, ``y`` and ``t`` in order of ``t`` as arrays on every executor, fetched once: for a series that may be broadcast."""
+        with self._lock:
+            if self._matrices is None:
+                got = self.frame.orderBy("t").toArrow()
+                x, y = (np.stack(got.column(c).combine_chunks().to_numpy(zero_copy_only=False)).astype(float) if got.num_rows else np.zeros((0, 0)) for c in ("x", "y"))
+                self._matrices = self.frame.sparkSession.sparkContext.broadcast((x, y, got.column("t").to_numpy()))
+        return self._matrices
+
     def sample(self, index: int) -> DataFrame:
         """One row, transformed."""
         row = self.frame.where(F.col("t") == index)
@@ -95,11 +111,16 @@ class Dataset:
 class Subset(Dataset):
     """The rows of a dataset at ``indices``, in that order; a row's time becomes its place among the indices.
 
-    An index may come twice. A ``range`` of step 1 is a filter; other indices are a join on time.
+    An index may come twice; one outside the dataset is an IndexError at once. A ``range`` of step 1 is a filter; other
+    indices are a join on time.
     """
 
     def __init__(self, dataset: Dataset, indices: Sequence[int]):
         self.dataset, self.indices = dataset, indices
+        if len(indices):
+            low, high, n = min(indices), max(indices), len(dataset)
+            if low < 0 or high >= n:
+                raise IndexError(f"indices must be between 0 and {n - 1}, got {low} to {high}")
         parent = dataset.frame
         if isinstance(indices, range) and indices.step == 1:
             inside = parent.where((F.col("t") >= indices.start) & (F.col("t") < indices.stop))

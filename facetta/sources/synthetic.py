@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -9,29 +11,35 @@ from pyspark.sql import functions as F
 from .series import Dataset
 
 
-def lorenz96(*, K: int, T: int, F: float = 8.0, dt: float = 0.05, rng: np.random.Generator) -> np.ndarray:  # noqa: N803
-    """(T, K) states after each Runge-Kutta step of dx_i = (x_{i+1} - x_{i-2}) x_{i-1} - x_i + F."""
-    x, out = F + 0.01 * rng.standard_normal(K), np.empty((T, K))
-
-    def slope(v):
-        return (np.roll(v, -1) - np.roll(v, 2)) * np.roll(v, 1) - v + F
+#: Classical fourth-order Runge-Kutta: where each stage looks ahead from the one before, and how much it counts.
+STAGES = ((0.0, 1 / 6), (0.5, 1 / 3), (0.5, 1 / 3), (1.0, 1 / 6))
 
-    for i in range(T):
-        a = slope(x)
-        b = slope(x + dt / 2 * a)
-        c = slope(x + dt / 2 * b)
-        d = slope(x + dt * c)
-        x = x + dt / 6 * (a + 2 * b + 2 * c + d)
-        out[i] = x
-    return out
 
+def lorenz96(steps: int, sites: int, seed: int | np.random.Generator, *, forcing: float = 8.0, interval: float = 0.05, jitter: float = 0.01) -> np.ndarray:
+    """(steps, sites) states of the Lorenz (1996) ring, the first one an ``interval`` after a jittered rest state.
 
-def ar1_columns(*, T: int, columns: int, rng: np.random.Generator) -> np.ndarray:  # noqa: N803
-    """(T, columns) independent first-order autoregressions with coefficients in [0.2, 0.8)."""
-    phi, out = rng.uniform(0.2, 0.8, columns), np.empty((T, columns))
-    out[0] = rng.standard_normal(columns)
-    for i in range(1, T):
-        out[i] = phi * out[i - 1] + rng.standard_normal(columns)
+    On the ring a site is driven by the product of its left neighbour and the difference of its right neighbour and the
+    one two to the left; it decays, and is forced evenly.
+    """
+    site = np.arange(sites)
+    left, far_left, right = (site - 1) % sites, (site - 2) % sites, (site + 1) % sites
+    out = np.empty((steps + 1, sites))
+    out[0] = forcing + jitter * np.random.default_rng(seed).standard_normal(sites)
+    for now, then in pairwise(out):
+        then[:], rate = now, np.zeros(sites)
+        for ahead, share in STAGES:
+            at = now + ahead * interval * rate
+            rate = at[left] * (at[right] - at[far_left]) + (forcing - at)
+            then += share * interval * rate
+    return out[1:]
+
+
+def ar1_columns(steps: int, columns: int, seed: int | np.random.Generator, *, least: float = 0.2, most: float = 0.8) -> np.ndarray:
+    """(steps, columns) independent first-order autoregressions with unit noise, coefficients drawn evenly."""
+    rng = np.random.default_rng(seed)
+    memory, out = rng.uniform(least, most, columns), rng.standard_normal((steps, columns))
+    for before, now in pairwise(out):
+        now += memory * before
     return out
 
 
@@ -41,8 +49,8 @@ def lorenz96_dataset(spark: SparkSession, *, T: int = 2000, signal: int = 6, noi
     The recurrence is sequential, so it runs on the driver; the shuffle of columns is a DataFrame expression.
     """
     rng = np.random.default_rng(seed)
-    s = lorenz96(K=signal, T=T + 1, rng=rng)
-    full = np.concatenate([s[:T], ar1_columns(T=T, columns=noise, rng=rng)], axis=1)
+    s = lorenz96(T + 1, signal, rng)
+    full = np.concatenate([s[:T], ar1_columns(T, noise, rng)], axis=1)
     order = rng.permutation(signal + noise).tolist()
     rows = [(i, full[i].tolist(), [float(s[i + 1, 0])]) for i in range(T)]
     frame = spark.createDataFrame(rows, "t long, x array<double>, y array<double>")

@@ -10,13 +10,21 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"lorenz96_recovery", "smap_holdout"}
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"lorenz96_recovery", "smap_holdout", "sweep_full"}
 
 
 def test_lorenz96_recovery(spark):
     rows = catalogue.queries()["lorenz96_recovery"](spark, SF).collect()
-    assert [r["depth"] for r in sorted(rows, key=lambda r: r["depth"])] == [1, 2, 3, 4]
-    assert max(r["recovered"] for r in rows) >= 2
+    depths = sorted(r["depth"] for r in rows)
+    assert depths == list(range(1, len(depths) + 1)) and len(depths) >= 6
+    assert max(r["recovered"] for r in rows) >= 5
+
+
+def test_sweep_full(spark):
+    rows = catalogue.queries()["sweep_full"](spark, SF).collect()
+    assert len({(r["metric"], r["energy"], r["strategy"]) for r in rows}) == 30 and len(rows) == 90
+    best = {(r["metric"], r["energy"], r["strategy"], r["step"]): r["train"] for r in rows}
+    assert all(best[m, e, "beam", k] <= v + 1e-6 for (m, e, s, k), v in best.items() if s == "greedy")
 
 
 def test_flagship_is_ordered(spark):
@@ -43,5 +51,5 @@ def test_smap_holdout(spark):
 def test_driver_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 8
+    assert __spark_entry__.entry(spark).count() == 64
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetta.functions import compose, gaussian_noise, zscore_normalize
-from facetta.sources import Dataset, Fold, Subset, expanding_folds, fold_frame, horizon_shift, lorenz96, sliding_folds, temporal_fold
+from facetta.sources import Dataset, Fold, Subset, expanding_folds, ar1_columns, fold_frame, horizon_shift, lorenz96, lorenz96_dataset, sliding_folds, temporal_fold
 
 
 def frames(spark, x, y):
@@ -115,9 +115,43 @@ def test_fold_frame_of_shuffled_rows(spark):
         fold_frame(spark, [])
 
 
-def test_lorenz96_moves():
-    x = lorenz96(K=5, T=50, rng=np.random.default_rng(0))
-    assert x.shape == (50, 5) and np.isfinite(x).all() and x.std() > 0
+def test_lorenz96_follows_its_equation():
+    """Small steps change by the equation's right side; half a step errs by a sixteenth (fourth order)."""
+    x = lorenz96(400, 6, 0, interval=0.001)
+    rate = (np.roll(x, -1, axis=1) - np.roll(x, 2, axis=1)) * np.roll(x, 1, axis=1) - x + 8
+    np.testing.assert_allclose((x[2:] - x[:-2]) / 0.002, rate[1:-1], atol=1e-3)
+    ends = [lorenz96(20 << k, 6, 1, interval=0.02 / (1 << k))[-1] for k in range(3)]
+    assert 12 < np.abs(ends[0] - ends[1]).max() / np.abs(ends[1] - ends[2]).max() < 20
+    assert (lorenz96(30, 6, 5) == lorenz96(30, 6, 5)).all() and lorenz96(500, 6, 0).std() > 1
+
+
+def test_ar1_columns():
+    x = ar1_columns(20_000, 3, 4)
+    slope = [np.corrcoef(c[:-1], c[1:])[0, 1] for c in x.T]
+    assert all(0.17 < s < 0.83 for s in slope) and abs(np.std(x[1:, 0] - slope[0] * x[:-1, 0]) - 1) < 0.05
+
+
+def test_columns_are_shuffled_and_found_again(spark):
+    data, informative = lorenz96_dataset(spark, T=60, signal=3, noise=4, seed=2)
+    rows = data.frame.orderBy("t").collect()
+    x, y = (np.array([r[c] for r in rows]) for c in "xy")
+    assert len(informative) == 3 and x.shape == (60, 7) and min(x[:, informative].mean(axis=0)) > np.delete(x, informative, axis=1).mean() + 1
+    assert any(np.allclose(x[1:, j], y[:-1, 0]) for j in informative)
+
+
+def test_time_steps_must_be_the_same(spark):
+    X = spark.createDataFrame([(t, [1.0]) for t in range(5)], "t long, x array<double>")  # noqa: N806
+    for steps in (range(1, 6), [0, 1, 2, 3, 3]):
+        with pytest.raises(ValueError, match="same time steps"):
+            Dataset(X, spark.createDataFrame([(t, 1.0) for t in steps], "t long, y double"))
+
+
+@pytest.mark.parametrize("indices", [[0, 99, -1], [5], [-1], range(2, 9)])
+def test_subset_indices_must_exist(spark, indices):
+    d = Dataset.from_frame(spark.createDataFrame([(t, [1.0], [2.0]) for t in range(5)], "t long, x array<double>, y array<double>"))
+    with pytest.raises(IndexError, match="between 0 and 4"):
+        Subset(d, indices)
+    assert len(Subset(d, [])) == 0 and len(Subset(d, range(5))) == 5
 
 
 def test_zscore_of_other_width_fails(spark):

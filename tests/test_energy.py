@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -71,11 +73,69 @@ def test_blocks_agree_with_broadcast(spark, monkeypatch):
     from facetta.operators import kernel
 
     x, y, folds = problem(5)
-    run = lambda: scores(cross.holdout(data=dataset(spark, x, y), fold=folds[0], predict=simplex, metric=MAE, engine="columns")[1](frame(spark, [[0, 1]], [[]])))
+    own = [[0, 1], [2, 0], [1, 2]]
+
+    def run():
+        got = scores(cross.holdout(data=dataset(spark, x, y), fold=folds[0], predict=simplex, metric=MAE, engine="columns")[1](frame(spark, own, [[]] * 3)))
+        return [got[i][0] for i in range(3)]
+
     whole = run()
-    monkeypatch.setattr(kernel, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(kernel, "BLOCK_ROWS", 4)
-    np.testing.assert_allclose(run()[0][0], whole[0][0], atol=1e-12)
+    for size in (300, 64):  # three blocks of rows; eleven, and two of states
+        monkeypatch.setattr(kernel, "BROADCAST_BYTES", size)
+        np.testing.assert_allclose(run(), whole, atol=1e-12)
+
+
+@pytest.mark.parametrize("n, theiler", [(5, 2), (6, 2), (3, 1), (4, 0), (1, 0)])
+@pytest.mark.parametrize("kind", [cross, within])
+def test_queries_without_neighbours(spark, kind, n, theiler):
+    """A row without any neighbour has no prediction, and then the state no metric, in both engines."""
+    rng = np.random.default_rng(n)
+    data = dataset(spark, *rng.normal(size=(2, n, 3)))
+    for metric in (MAE, RMSE, CORR):
+        a, b = (scores(kind.loo(data=data, metric=metric, theiler_window=theiler, engine=g)[1](frame(spark, [[0], [2]], [[]] * 2))) for g in ("columns", "arrow"))
+        np.testing.assert_allclose([a[i][0] for i in range(2)], [b[i][0] for i in range(2)], atol=1e-9)
+        assert np.isnan(a[0][0]) == (n - 1 <= 2 * theiler)
+
+
+@pytest.mark.parametrize("engine", ["columns", "arrow"])
+def test_states_of_several_lengths(spark, engine):
+    x, y, folds = problem(8)
+    for kind in (cross, within):
+        _, e = kind.holdout(data=dataset(spark, x, y), fold=folds[0], predict=simplex, metric=MAE, engine=engine)
+        got = scores(e(frame(spark, [[1], [0, 2], [2, 1, 0]], [[]] * 3), mixed=True))
+        for i, s in enumerate([[1], [0, 2], [2, 1, 0]]):
+            np.testing.assert_allclose(got[i][0], scores(e(frame(spark, [s], [[]])))[0][0], atol=1e-12)
+
+
+def test_scan_engines_agree(spark):
+    from facetta.operators import scan
+
+    rng = np.random.default_rng(3)
+    data = dataset(spark, rng.normal(size=(40, 2)), rng.normal(size=(40, 1)))
+    fold = lambda n: Fold(list(range(n - 1, 5, -1)), [0, 2, 4])
+    for own in (None, fold):
+        a, b = ({(r["col"], r["E"], r["tau"]): r["score"] for r in scan(data.frame, E=(1, 3, 20), tau=(1, 2), columns=(0, 1), fold=own, engine=g).collect()} for g in ("columns", "arrow"))
+        assert a.keys() == b.keys() and len(a) == 8 + 2 * (40 - 19 >= 3) + 2 * (40 - 38 >= 3)
+        np.testing.assert_allclose(list(a.values()), [b[k] for k in a], atol=1e-9)
+
+
+def test_smap_by_hand():
+    """Weighted least squares by the normal equations, one query at a time."""
+    rng = np.random.default_rng(7)
+    X, Y, Q, theta = rng.normal(size=(25, 2)), rng.normal(size=(25, 1)), rng.normal(size=(4, 2)), 1.5  # noqa: N806
+    for got, q in zip(smap(theta)(X, Y, Q), Q):
+        dist = np.array([math.dist(q, p) for p in X])
+        w = np.diag(np.exp(-theta * dist / dist.mean()) ** 2)
+        a = np.column_stack([np.ones(25), X])
+        np.testing.assert_allclose(got, np.array([1, *q]) @ np.linalg.solve(a.T @ w @ a, a.T @ w @ Y), rtol=1e-8)
+
+
+def test_mask_of_predictors():
+    rng = np.random.default_rng(9)
+    X, Y, Q = rng.normal(size=(12, 2)), rng.normal(size=(12, 1)), rng.normal(size=(3, 2))  # noqa: N806
+    keep = np.arange(12) % 3 > 0
+    for f in (simplex, smap(0.5)):
+        np.testing.assert_allclose(f(X, Y, Q, mask=keep), f(X[keep], Y[keep], Q))
 
 
 def test_simplex_by_hand():
