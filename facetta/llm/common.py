@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..work import few_files, staged, unstage
 
-__all__ = ["few_files", "join_grouped", "row_hash", "staged", "table", "unstage", "utf8_bytes"]
+__all__ = ["few_files", "join_grouped", "repeated", "row_hash", "staged", "table", "unstage", "utf8_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def row_hash(seed: int, *cols: Column) -> Column:
     return F.xxhash64(F.lit(seed).cast("long"), *cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
+def repeated(df: DataFrame, column: str) -> bool:
+    """Whether any value of a hash column comes again; only the hashes are shuffled."""
+    return not df.groupBy(column).count().where("count > 1").isEmpty()
+
+
 def utf8_bytes(text: Column) -> Column:
     """Bytes of a text in UTF-8; a null text has none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -14,7 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_files, join_grouped, staged, table
+from .common import few_files, join_grouped, repeated, staged, table
 
 SEED = 9_001
 #: Digits by which the boundary bucket is refined: LEVELS of BITS bits each make up a hash.
@@ -160,12 +160,8 @@ def keep_mixed(docs: DataFrame, *, seed: int = SEED, weights=WEIGHTS, share: flo
     hashed = sized(docs, seed)
     plan, n = thresholds(hashed, weights=weights, share=share)
     own = docs.withColumn("__hash", document_hash(seed))
-    many = staged(docs.select(document_hash(seed).alias("__h")).groupBy("__h").count().where("count > 1").select("__h", F.lit(True).alias("__many")), "repeated", few=True)
-    n_many = many.count()
-    if n_many:
-        met = join_grouped(own, many, {"__hash": "__h"}, n_many, F.xxhash64("doc_id", "text"))
-        names = [F.col(f"`{c}`") for c in own.columns]
-        own = met.where("__many is null").select(*names).unionByName(each_occurrence(met.where("__many").select(*names)))
+    if repeated(own, "__hash"):
+        own = each_occurrence(own)
     taken = with_source_table(own, plan.select("source", "__base", "__low"), n)
     copies = taken.withColumn("__copy", repeats()).where("__copy > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copy"))))
     return few_files(copies.select(*[F.col(f"`{c}`") for c in docs.columns]), docs.count(), texts=True)

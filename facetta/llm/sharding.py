@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few_files, join_grouped, row_hash, staged, table, utf8_bytes
+from .common import few_files, repeated, row_hash, staged, table, utf8_bytes
 
 SEED = 20_240
 #: Records that one Fisher-Yates task holds in memory; with ``bucket_bytes`` the size of a bucket.
@@ -62,18 +62,12 @@ def shuffle_into_shards(
         raise ValueError(f"shards must be >= 1, got {shards}")
     df = df.drop("shard", "slot")
     cols = [F.col(f"`{c}`") for c in df.columns]
-    # Rows whose hash comes again, and only they, are counted as a whole; no other row is shuffled before the scatter.
-    own = df.withColumn("__row", row_hash(seed, *cols))
-    many = staged(df.select(row_hash(seed, *cols).alias("__h")).groupBy("__h").count().where("count > 1").select("__h", F.lit(True).alias("__many")), "repeated", few=True)
-    n_many = many.count()
-    spread = own.withColumn("__tag", F.col("__row"))
-    if n_many:
-        met = join_grouped(own, many, {"__row": "__h"}, n_many, row_hash(seed + 1, *cols[:1]))
-        counted = met.where("__many").groupBy("__row", *cols).agg(F.count(F.lit(1)).alias("__n"))
+    # Only if any row's hash comes again are whole rows counted, which shuffles them once more.
+    spread = df.withColumn("__tag", row_hash(seed, *cols))
+    if repeated(spread, "__tag"):
+        counted = spread.groupBy(*cols, "__tag").agg(F.count(F.lit(1)).alias("__n"))
         each = counted.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
-        each = each.withColumn("__tag", row_hash(seed, F.col("__row"), F.col("__i"))).select(*cols, "__tag")
-        spread = met.where("__many is null").withColumn("__tag", F.col("__row")).select(*cols, "__tag").unionByName(each)
-    spread = spread.select(*cols, "__tag")
+        spread = each.withColumn("__tag", F.when(F.col("__i") == 1, F.col("__tag")).otherwise(row_hash(seed, F.col("__tag"), F.col("__i")))).select(*cols, "__tag")
 
     total = df.agg(F.count(F.lit(1)).alias("n"), F.sum(memory_bytes(df.schema) if size is None else size).alias("b")).first()
     n = total["n"]
