@@ -66,8 +66,8 @@ def rarest_words(docs: DataFrame, wins: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """For every row of ``docs`` (``doc_id``, ``text``): ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``,
-    ``contaminated`` and ``text_hash``.
+    """For every row of ``docs`` (``doc_id``, ``text``): ``n_words``, ``n_hit``, ``item_ids`` (as sorted strings), ``hits``
+    (where windows occur: first word and the one behind), ``contaminated`` and ``text_hash``.
 
     A null or empty text has no words and is not contaminated, nor is anything if the benchmark is empty or without
     words. Repeated rows come back as often as given; null doc_ids are kept; items with equal windows all count; other
@@ -105,7 +105,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, h: F.struct((a.n + F.greatest(h.e - F.greatest(h.s, a.end), F.lit(0))).alias("n"), F.greatest(a.end, h.e).alias("end")),
     ).n
-    found = staged(by_doc.withColumn("n_hit", covered).drop("hits"), "hits", docs.count())
+    found = staged(by_doc.withColumn("n_hit", covered), "hits", docs.count())
     # Of the documents with windows, which are few, the items.
     named = found.where(F.size("ids") > 0).select("doc_id", "text_hash", F.explode("ids").alias("id")).join(known.select("id", "items"), "id")
     listed = named.select("doc_id", "text_hash", F.explode("items").alias("item")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
@@ -116,14 +116,20 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.col("f.doc_id"),
         F.col("n_words").cast("long").alias("n_words"),
         F.col("n_hit").cast("long").alias("n_hit"),
-        F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
+        ids.alias("item_ids"),
+        F.array_sort("hits").alias("hits"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit").cast("long") >= F.col("n_words"))).alias("contaminated"),
         F.col("f.text_hash"),
     )
     return few_files(out, docs.count())
 
 
+def digested(found: DataFrame) -> DataFrame:
+    """``contamination``'s rows with the number of items and a digest of them instead of lists."""
+    digest = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest, "contaminated")
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows."""
     bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
@@ -132,5 +138,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.drop("text_hash")
+    """The contract's columns for ``documents``, from the items and words that are hit."""
+    return digested(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
