@@ -13,7 +13,6 @@ import hashlib
 import re
 import struct
 from collections import Counter
-from heapq import nsmallest
 
 import pyarrow as pa
 import xxhash
@@ -121,7 +120,7 @@ class Version:
 
     def __init__(self, text: str):
         self.keys = digests(text)
-        self.least = set(nsmallest(LEAST, self.keys))
+        self.least = sorted(self.keys)[:LEAST]
         self.sketches: dict[int, Sketch] = {}
 
     def sketch(self, size: int = CELLS) -> Sketch:
@@ -132,8 +131,9 @@ class Version:
 
 def expected_difference(a: Version, b: Version) -> float:
     """How many digests differ, from the share that the least of both have in common."""
-    both = nsmallest(LEAST, a.least | b.least)
-    alike = sum(k in a.least and k in b.least for k in both) / max(1, len(both))
+    common = set(a.least).intersection(b.least)
+    both = sorted({*a.least, *b.least})[:LEAST]
+    alike = len(common.intersection(both)) / max(1, len(both))
     return (len(a.keys) + len(b.keys)) * (1 - alike) / (1 + alike)
 
 
