@@ -53,11 +53,13 @@ def digests(text: str) -> set[int]:
     hashed = [h >> 20 for h in map(xxhash.xxh3_64_intdigest, pieces(text))]
     out = {h << 20 | h * _CHECK >> 30 & 0xFFFFF for h in hashed}
     if len(out) < len(hashed):
-        out = set()
-        for h in hashed:
+        out, reached = set(), {}
+        for piece in hashed:
+            h = reached.get(piece, piece)  # of a piece that comes often, only the last key is passed again
             while (k := h << 20 | h * _CHECK >> 30 & 0xFFFFF) in out:
                 h = xxhash.xxh3_64_intdigest(h.to_bytes(8, "little")) >> 20
             out.add(k)
+            reached[piece] = h
     return out
 
 

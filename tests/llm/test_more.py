@@ -265,3 +265,13 @@ def test_the_whole_pipeline(spark, docs, texts):
     for r in got:
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(16))
+
+
+def test_many_equal_pieces():
+    """A text of one line many times has a key for each, in time proportional to their number."""
+    import time
+
+    began = time.perf_counter()
+    keys = fingerprints.digests("The same line.\n" * 100_000)
+    assert len(keys) == 100_000 and time.perf_counter() - began < 10
+    assert fingerprints.digests("a. b. a. a.") > fingerprints.digests("a. b. a.") > fingerprints.digests("a. b.")
