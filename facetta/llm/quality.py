@@ -101,16 +101,21 @@ def extract(docs: DataFrame, *carry: str) -> DataFrame:
     return at.mapInArrow(apply, ", ".join(["x array<double>", *(f"{c} {kinds[c]}" for c in carry)]))
 
 
+def _share(key: Column, share: float) -> Column:
+    return F.pmod(key, F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int = SEED) -> Classifier:
-    """Fit on about ``sample`` labelled documents at most, chosen by hash of their doc_id."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    share = min(1.0, sample / max(1, known.count()))
-    some = known.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    some = some.groupBy("doc_id").agg(F.max("quality").alias("quality")).limit(2 * sample)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # 2 * sample rows at most
-    got = extract(chosen, "doc_id", "quality").limit(4 * sample).toArrow()
+    """Fit on about ``sample`` labelled documents at most, chosen by hash of their doc_id and, if many documents share a
+    doc_id, of their text. Documents alike in doc_id and text count once, and a doc_id with several labels has the best."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    some = known.where(_share(F.xxhash64(F.lit(seed), "doc_id"), sample / max(1, known.count())))  # about ``sample`` rows
+    chosen = docs.select("doc_id", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("key")).join(F.broadcast(some), "doc_id")
+    got = staged(extract(chosen.dropDuplicates(["key"]), "doc_id", "quality", "key"), "sample", few=True)
+    n = got.count()
+    got = (got.where(_share(F.col("key"), sample / n)) if n > 2 * sample else got).toArrow()
     x = got.column("x").combine_chunks()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    order = np.lexsort([got.column("key").to_numpy(), got.column("doc_id").to_numpy()])
     y = got.column("quality").to_numpy().astype(float)
     return train(x.values.to_numpy().reshape(-1, FEATURES)[order], y[order])
 

@@ -214,6 +214,18 @@ def test_quality_of_documents_not_trained_on(spark):
     assert len(out) > 50 and sum(r["keep"] == bool(r["quality"]) for r in out) / len(out) >= 0.95
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    """Thousands of documents under one labelled doc_id: the sample is cut by the texts' hash, the same on every run."""
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, y: seen.append((len(y), float(x.sum()))))
+    rows = [(1, f"text {i} of many " * (1 + i % 7)) for i in range(3000)] + [(1, "the same")] * 500 + [(2, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, quality int")
+    for parts in (2, 5):
+        quality.fit(docs.repartition(parts), labels, sample=100)
+    assert seen[0][0] == seen[1][0] < 200 and seen[0][1] == pytest.approx(seen[1][1])
+
+
 def test_sparse_paths_are_drawn_to_their_host(spark):
     """Junk and clean hosts: a path's one odd document moves it less than many move another."""
     clean, junk = "A plain sentence of many words, and another one. " * 6, "$$$ CLICK !!! WIN ||| $$$ " * 8
