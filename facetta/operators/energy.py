@@ -106,7 +106,7 @@ class Energy:
         if self.folds is None:
             rows = loo_predictions(states, self.data.frame, d, theiler=self.theiler, **size)
         else:
-            rows = simplex_predictions(states, *self._fold_rows(), d, **size)
+            rows = simplex_predictions(states, *self._fold_rows(), d, folds=len(self.folds), **size)
         scores = self.metric.aggregate(rows, ["sid", "fold_id"])
         nan = F.lit(float("nan"))
         if self.weight is None:
@@ -132,7 +132,9 @@ class Energy:
 
     def _arrow(self, states: DataFrame, d: int, count: int) -> DataFrame:
         shared, places, predict, metric, weight = self.data.matrices(), self._fold_places(), self.predict or simplex, self.metric, self.weight
-        theiler, within, batch = self.theiler, self.within, self.batch_size
+        theiler, within = self.theiler, self.within
+        # A batch's states hold their columns and targets, however long the series.
+        batch = max(1, min(self.batch_size, BROADCAST_BYTES // max(1, len(self.data) * (d + self.data.widths[1]) * 8)))
 
         def score(idx: np.ndarray, context: np.ndarray):
             x, y, _ = shared.value
