@@ -152,6 +152,30 @@ def test_suffix_dedup_with_frequent_phrases(spark, docs, texts, monkeypatch):
     assert suffix_result(suffixes.remove_repeats(docs)) == removed(texts.items())
 
 
+def test_suffix_dedup_sends_the_driver_few_keys(spark, monkeypatch):
+    """Beyond BROADCAST_TEXTS only texts with more rows than a task's share are broadcast; no row is multiplied."""
+    monkeypatch.setattr(suffixes, "BROADCAST_TEXTS", 10)
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    pairs = [word(500) for _ in range(60)]
+    texts = [*[word(700)] * 40, *pairs, *pairs, *[p[:450] + word(30) for p in pairs[:30]], *[word(450) for _ in range(20)], *[""] * 30]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = suffixes.remove_repeats(frame)
+    assert suffix_result(out) == removed(enumerate(texts))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no rows times SALT
+    keys = spark.createDataFrame([(k, 50 if k < 2 else 1) for k in range(100)], "did long, copies long")
+    rows = spark.range(300).selectExpr("id % 150 AS did", "id")
+    for how, n in (("left_semi", 200), ("left_anti", 100)):
+        got = suffixes._having(rows, keys, 100, 10, how)
+        assert got.count() == n and {r["did"] < 100 for r in got.collect()} == {how == "left_semi"}
+
+
+def test_broadcasts_of_texts_fit_the_driver():
+    """A million keys took up to 177 MB of a heap of 750; two lists are held at a time."""
+    assert 2 * suffixes.BROADCAST_TEXTS * 177 < 0.1 * 750e6
+
+
 def test_fingerprints(spark, docs, texts):
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs.repartition(5)).collect()}
     ids = sorted(texts)
